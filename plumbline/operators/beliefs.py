@@ -17,11 +17,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import messages as msg
 from plumbline.plans.cutting import cut
-from plumbline.plans.skew import GROUP_LIMIT, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, add_group_sum, lookup_join
 from plumbline.sources.snapshots import read_snapshot, write_snapshot
 
 USER_PRIORS = ["prior_fraud", "prior_honest"]
@@ -56,15 +56,15 @@ class _Side:
     key: str
     degree: str
     single: str
-    prior: str
+    priors: list[str]
     heard: str
     sent: str
     sent_total: str
     send: Callable[[Column, Column], Column]
 
 
-_USERS = _Side("src", "u_deg", "single_user", "_user_prior", "_mu", "_mp", "_mp_total", msg.message_to_product)
-_PRODUCTS = _Side("dst", "p_deg", "single_product", "_product_prior", "_mp", "_mu", "_mu_total", msg.message_to_user)
+_USERS = _Side("src", "u_deg", "single_user", USER_PRIORS, "_mu", "_mp", "_mp_total", msg.message_to_product)
+_PRODUCTS = _Side("dst", "p_deg", "single_product", PRODUCT_PRIORS, "_mp", "_mu", "_mu_total", msg.message_to_user)
 
 
 def add_random_variable(df: DataFrame, name: str, values: list[str], default: float) -> DataFrame:
@@ -245,42 +245,24 @@ def _half_step(state, side, sign_mag_effect, sampling, group_limit, heavy):
     heard = F.when(F.col(side.single), 0.0).otherwise(F.coalesce(F.col(side.heard), F.lit(0.0)))
     if sampling is not None:
         heard = F.when(sampling.keeps(F.col(side.degree)), heard).otherwise(0.0)
-    if not heavy:
-        everything = F.sum(heard).over(Window.partitionBy(side.key))
-        return _send(state, side, everything - heard, sign_mag_effect)
-
-    state = cut(state)
-    sums = (
-        state.where(F.col(side.degree) > group_limit)
-        .groupBy(F.col(side.key).alias("_key"))
-        .agg(F.sum(heard).alias("_sum"))
-    )
-    light = state.where(F.col(side.degree) <= group_limit)
-    everything = F.sum(heard).over(Window.partitionBy(side.key))
-    light = _send(light, side, everything - heard, sign_mag_effect)
-    # one row per vertex above the limit: at most edges / group_limit of them
-    crowded = state.where(F.col(side.degree) > group_limit).join(
-        F.broadcast(sums), F.col(side.key) == F.col("_key")
-    )
-    crowded = _send(crowded, side, F.col("_sum") - heard, sign_mag_effect)
-    return light.unionByName(crowded.drop("_key", "_sum"))
-
+    crowded = F.col(side.degree) > group_limit if heavy else None
+    summed = add_group_sum(state, side.key, heard, "_sum", crowded)
 
-def _send(state, side, others, sign_mag_effect):
     # weighting both values by |s| cancels in normalisation; only s = 0 differs
     sends = ~F.col(side.single) & F.col("s").isNotNull()
     if sign_mag_effect:
         sends = sends & (F.col("s") != 0)
+    prior = msg.log_odds(F.col(side.priors[0]), F.col(side.priors[1]))
     fresh = side.send(F.col("_cavity"), F.col("s"))
     return (
-        state.withColumn("_cavity", F.col(side.prior) + others)
+        summed.withColumn("_cavity", prior + F.col("_sum") - heard)
         .withColumns(
             {
                 side.sent: F.when(sends, fresh).otherwise(F.col(side.sent)),
                 side.sent_total: F.when(sends, 1.0).otherwise(F.col(side.sent_total)),
             }
         )
-        .drop("_cavity")
+        .drop("_cavity", "_sum")
     )
 
 
@@ -293,8 +275,6 @@ def _compact(edges: DataFrame) -> DataFrame:
             "_mu_total": c("mu_fraud") + c("mu_honest"),
             "_mp": msg.log_odds(c("mp_bad"), c("mp_good")),
             "_mp_total": c("mp_bad") + c("mp_good"),
-            "_user_prior": msg.log_odds(c("prior_fraud"), c("prior_honest")),
-            "_product_prior": msg.log_odds(c("prior_bad"), c("prior_good")),
         }
     ).drop(*MESSAGES)
 

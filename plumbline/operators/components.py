@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.graph import Graph
 from plumbline.plans.cutting import cut
-from plumbline.plans.skew import GROUP_LIMIT, heavy_among, if_any, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, heavy_among, lookup_join
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -43,11 +43,14 @@ def connected_components(
         facts = around.agg(
             F.bool_or((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") > 0))).alias("unsettled"),
             F.max("above").alias("above"),
+            F.max("below").alias("below"),
         ).first()
         if not facts["unsettled"]:
             break
         heavy = heavy_among(around, "at", "above", group_limit) if facts["above"] > group_limit else None
-        links = _small_star(_large_star(links, around, heavy), group_limit)
+        # re-pointing can merge a vertex's parents but never add one
+        crowded = facts["below"] > group_limit
+        links = _small_star(_large_star(links, around, heavy), group_limit if crowded else None)
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return vertices.select("id").distinct().join(links, F.col("id") == F.col("child"), "left").select(
@@ -59,7 +62,7 @@ def _large_star(links, around, heavy):
     """Re-point every larger neighbour of a vertex at the vertex's smallest neighbour."""
     shortcuts = around.where(F.col("low") < F.col("at")).select(F.col("at").alias("via"), "low")
     moved = lookup_join(links, shortcuts, "parent", "via", how="left", heavy=heavy)
-    return cut(moved.select("child", F.coalesce("low", "parent").alias("parent")).distinct())
+    return cut(moved.select("child", F.coalesce("low", "parent").alias("parent")))
 
 
 def _small_star(links, group_limit):
@@ -67,7 +70,7 @@ def _small_star(links, group_limit):
     lowest = links.groupBy(F.col("child").alias("via")).agg(
         F.min("parent").alias("low"), F.count(F.lit(1)).alias("parents")
     )
-    heavy = if_any(heavy_among(lowest, "via", "parents", group_limit))
+    heavy = None if group_limit is None else heavy_among(lowest, "via", "parents", group_limit)
     single = lowest.select(F.col("via").alias("child"), F.col("low").alias("parent"))
     several = lowest.where(F.col("parents") > 1).select("via", "low")
     siblings = (

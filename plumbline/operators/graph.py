@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.numbering import number_rows
 from plumbline.plans.cutting import stage
-from plumbline.plans.skew import GROUP_LIMIT, heavy_among, if_any, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, heavy_among, lookup_join
+
+
+_ENDS = (("src", "u", "u_deg", "single_user"), ("dst", "p", "p_deg", "single_product"))
 
 
 @dataclass(frozen=True)
@@ -116,16 +119,17 @@ def with_endpoint_degrees(edges: DataFrame, vertices: DataFrame, limit: int = GR
 
     An edge whose user or product is not among the vertices is left out.
     """
-    for end, kind, deg, single in (("src", "u", "u_deg", "single_user"), ("dst", "p", "p_deg", "single_product")):
+    top = {row["type"]: row["top"] for row in vertices.groupBy("type").agg(F.max("deg").alias("top")).collect()}
+    for end, kind, deg, single in _ENDS:
         known = vertices.where(F.col("type") == kind).select("id", F.col("deg").alias(deg))
-        heavy = if_any(heavy_among(known, "id", deg, limit))
+        heavy = heavy_among(known, "id", deg, limit) if top.get(kind, 0) > limit else None
         edges = lookup_join(edges, known, end, "id", heavy=heavy).withColumn(single, F.col(deg) == 1)
     return edges
 
 
 def with_degree_flags(edges: DataFrame, vertices: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Like :func:`with_endpoint_degrees`, but an unknown endpoint counts as degree 1."""
-    for end, kind, deg, single in (("src", "u", "u_deg", "single_user"), ("dst", "p", "p_deg", "single_product")):
+    for end, kind, deg, single in _ENDS:
         shared = shared_vertices(vertices, kind).select("id", F.col("deg").alias(deg))
         edges = (
             lookup_join(edges, shared, end, "id", how="left", limit=limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.plans.cutting import cut
-from plumbline.plans.skew import GROUP_LIMIT, heavy_keys, if_any, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, HEAVY_KEY, add_group_sum, heavy_keys, if_any, lookup_join
 from plumbline.sources.snapshots import write_snapshot
 
 
@@ -28,43 +28,55 @@ def hits(
     iterations: int,
     hubs: DataFrame | None = None,
     snapshot_dir: str | None = None,
-    cut_every: int = 3,
+    cut_every: int = 5,
     group_limit: int = GROUP_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """(hubs [id, h_score], authorities [id, a_score]), largest score 1.
 
     Every iteration sums hub scores over in-edges, then authority scores over
     out-edges; parallel edges count each time, so they are folded into one weighted
-    edge up front. Both sums are linear: dividing by the maximum only matters for
-    the range of the numbers, and is done once per iteration on the hubs and at the
-    end. ``snapshot_dir`` gets ``hubs/`` and ``authorities/`` per iteration.
+    edge up front, and the scores travel on the edges. Both sums are linear: dividing
+    by the maximum only matters for the range of the numbers, so it is done where the
+    plan is cut and at the end. ``snapshot_dir`` gets ``hubs/`` and ``authorities/``
+    per iteration.
     """
     ids = vertices.select("id").distinct()
-    current = ids.withColumn("h_score", F.lit(1.0)) if hubs is None else hubs.select("id", "h_score")
     if iterations < 1:
-        return complete_scores(ids, current, "h_score"), ids.withColumn("a_score", F.lit(0.0))
+        first = ids.withColumn("h_score", F.lit(1.0)) if hubs is None else complete_scores(ids, hubs, "h_score")
+        return first, ids.withColumn("a_score", F.lit(0.0))
     links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
-    heavy = {end: if_any(cut(heavy_keys(links, end, group_limit))) for end in ("src", "dst")}
+    if hubs is None:
+        links = links.withColumn("h_score", F.lit(1.0))
+    else:
+        known = hubs.select(F.col("id").alias("hub"), F.col("h_score").cast("double"))
+        links = lookup_join(links, known, "src", "hub", "left", group_limit).fillna(0.0, ["h_score"])
+    links, heavy_src = _mark_heavy(links, "src", group_limit)
+    links, heavy_dst = _mark_heavy(links, "dst", group_limit)
 
-    def gather(scores: DataFrame, score: str, reach: str, to: str, total: str) -> DataFrame:
-        scored = scores.withColumnRenamed("id", "_scored")
-        carried = lookup_join(links, scored, reach, "_scored", spread=[to], heavy=heavy[reach])
-        return carried.groupBy(F.col(to).alias("id")).agg(F.sum(F.col(score) * F.col("weight")).alias(total))
+    def scores(end: str, column: str) -> DataFrame:
+        found = links.groupBy(F.col(end).alias("id")).agg(F.max(column).alias(column))
+        return complete_scores(ids, normalise_by_max(found, column), column)
 
-    authorities = None
     for i in range(1, iterations + 1):
-        authorities = gather(current, "h_score", "src", "dst", "a_score")
-        last = i == iterations
-        if last or snapshot_dir is not None:
-            authorities = cut(authorities)
-        current = gather(authorities, "a_score", "dst", "src", "h_score")
-        if last or snapshot_dir is not None or i % cut_every == 0:
-            current = normalise_by_max(cut(current), "h_score")
+        links = add_group_sum(links.drop("a_score"), "dst", F.col("h_score") * F.col("weight"), "a_score", heavy_dst)
+        links = add_group_sum(links.drop("h_score"), "src", F.col("a_score") * F.col("weight"), "h_score", heavy_src)
+        if i == iterations or i % cut_every == 0 or snapshot_dir is not None:
+            links = cut(links)
+            top = links.agg(F.max("h_score")).first()[0]
+            if top:
+                links = links.withColumn("h_score", F.col("h_score") / F.lit(top))
         if snapshot_dir is not None:
-            scored = normalise_by_max(authorities, "a_score")
-            write_snapshot(complete_scores(ids, current, "h_score"), f"{snapshot_dir}/hubs", i)
-            write_snapshot(complete_scores(ids, scored, "a_score"), f"{snapshot_dir}/authorities", i)
-    return (
-        complete_scores(ids, current, "h_score"),
-        complete_scores(ids, normalise_by_max(authorities, "a_score"), "a_score"),
-    )
+            write_snapshot(scores("src", "h_score"), f"{snapshot_dir}/hubs", i)
+            write_snapshot(scores("dst", "a_score"), f"{snapshot_dir}/authorities", i)
+    return scores("src", "h_score"), scores("dst", "a_score")
+
+
+def _mark_heavy(links, end, group_limit):
+    """Links with a flag for heavy ``end`` ids, and that flag; no flag if there are none."""
+    heavy = if_any(heavy_keys(links, end, group_limit))
+    if heavy is None:
+        return links, None
+    flag = f"_heavy_{end}"
+    listed = heavy.select(F.col(HEAVY_KEY).alias("_listed"), F.lit(True).alias(flag))
+    marked = links.join(F.broadcast(listed), F.col(end) == F.col("_listed"), "left").drop("_listed")
+    return marked.fillna(False, [flag]), F.col(flag)

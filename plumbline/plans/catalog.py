@@ -53,7 +53,7 @@ def _scored(edges: DataFrame) -> DataFrame:
     """Scored edges with ids and endpoint degrees."""
     scored = scoring.review_score(number_rows(edges.distinct(), _time_order(edges), "_rank"))
     numbered = stage(scored.withColumn("edge_id", F.concat(F.lit("e"), F.col("_rank").cast("string"))).drop("_rank"), "scored")
-    return graph.with_endpoint_degrees(numbered, graph.degrees(numbered))
+    return graph.with_endpoint_degrees(numbered, stage(graph.degrees(numbered), "degrees"))
 
 
 def _time_order(df: DataFrame) -> list[str]:
@@ -413,7 +413,9 @@ def has_cycle(spark, folder):
 
 @query
 def cycle_core(spark, folder):
-    return components.cycle_core(_offer_graph(spark, folder))
+    """Accounts and parts, where accounts with one review are dead ends."""
+    edges = commerce.account_reviews(spark, folder)
+    return components.cycle_core(Graph(graph.degrees(edges), edges))
 
 
 # -- merging -----------------------------------------------------------------------

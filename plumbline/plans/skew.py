@@ -1,4 +1,4 @@
-"""Joins that stay balanced when one key holds a large part of the rows.
+"""Joins and sums that stay balanced when one key holds a large part of the rows.
 
 A key with more than ``limit`` rows is split into ``ceil(rows / limit)`` salted
 groups, and its single lookup row is copied to each of them. At most
@@ -9,13 +9,15 @@ and is the only thing broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from plumbline.plans.cutting import cut
 
 GROUP_LIMIT = 1_000_000
 
+HEAVY_KEY = "_heavy_key"
 _SALT = "_salt"
 _SALTS = "_salts"
-_HEAVY = "_heavy_key"
 
 
 def salts_for(rows: Column, limit: int) -> Column:
@@ -35,7 +37,7 @@ def heavy_keys(rows: DataFrame, key: str, limit: int = GROUP_LIMIT) -> DataFrame
 def heavy_among(counts: DataFrame, key: str, rows: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """The heavy keys of a table that lists every key with its row count."""
     return counts.where(F.col(rows) > limit).select(
-        F.col(key).alias(_HEAVY), salts_for(F.col(rows), limit).alias(_SALTS)
+        F.col(key).alias(HEAVY_KEY), salts_for(F.col(rows), limit).alias(_SALTS)
     )
 
 
@@ -72,14 +74,14 @@ def lookup_join(
         return rows.join(table, F.col(key) == F.col(lookup), how).drop(lookup)
     listed = F.broadcast(heavy)
     salted_rows = (
-        rows.join(listed, F.col(key) == F.col(_HEAVY), "left")
+        rows.join(listed, F.col(key) == F.col(HEAVY_KEY), "left")
         .withColumn(_SALT, F.when(F.col(_SALTS).isNull(), 0).otherwise(_salt(spread or rows.columns, F.col(_SALTS))))
-        .drop(_HEAVY, _SALTS)
+        .drop(HEAVY_KEY, _SALTS)
     )
     salted_table = (
-        table.join(listed, F.col(lookup) == F.col(_HEAVY), "left")
+        table.join(listed, F.col(lookup) == F.col(HEAVY_KEY), "left")
         .withColumn("_lookup_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)))
-        .drop(_HEAVY, _SALTS)
+        .drop(HEAVY_KEY, _SALTS)
     )
     return _join_salted(salted_rows, salted_table, key, lookup, how)
 
@@ -110,6 +112,23 @@ def degree_join(
     return _join_salted(salted_rows, salted_table, key, lookup, how)
 
 
+def add_group_sum(rows: DataFrame, key: str, value: Column, total: str, heavy: Column | None = None) -> DataFrame:
+    """Give every row the sum of ``value`` over all rows with its ``key``.
+
+    Rows are shuffled once by the key and summed in place, so a chain of such steps
+    computes nothing twice. ``heavy`` marks rows of heavy keys, if there are any: those
+    are pre-aggregated instead, and stay where they are while the short list of their
+    sums is broadcast to them.
+    """
+    in_place = F.sum(value).over(Window.partitionBy(key))
+    if heavy is None:
+        return rows.withColumn(total, in_place)
+    rows = cut(rows)
+    sums = rows.where(heavy).groupBy(F.col(key).alias(HEAVY_KEY)).agg(F.sum(value).alias(total))
+    crowded = rows.where(heavy).join(F.broadcast(sums), F.col(key) == F.col(HEAVY_KEY)).drop(HEAVY_KEY)
+    return rows.where(~heavy).withColumn(total, in_place).unionByName(crowded)
+
+
 def _salt(spread: list[str], salts: Column) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in spread]), salts).cast("int")
 

@@ -69,6 +69,14 @@ def offer_reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def account_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """[src, dst]: all order lines as reviews of parts by one-off accounts."""
+    return table(spark, folder, "lineitem").select(
+        F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("src"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"),
+    )
+
+
 def products(spark: SparkSession, folder: str) -> DataFrame:
     """[asin, title] of all parts."""
     return table(spark, folder, "part").select(
