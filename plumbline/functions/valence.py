@@ -152,7 +152,10 @@ def idiom(value: Column, word: Column, before: list[Column], after: list[Column]
     behind = F.coalesce(*[look_up(p) for p in phrases])
     settled = F.coalesce(*[look_up(p) for p in reversed(ahead)], behind, value)
     dampened = phrases[4].isin(DAMPENERS) | phrases[2].isin(DAMPENERS)
-    return settled + F.when(dampened, DAMPEN).otherwise(0.0)
+    # every phrase looked at holds the word itself or the one two places before
+    parts = sorted({part for phrase in [*IDIOMS, *DAMPENERS] for part in phrase.split()})
+    possible = word.isin(parts) | two.isin(parts)
+    return F.when(possible, settled + F.when(dampened, DAMPEN).otherwise(0.0)).otherwise(value)
 
 
 def compound(total: Column) -> Column:

@@ -14,7 +14,7 @@ from plumbline.functions import valence as v
 from plumbline.functions.scoring import stronger_side
 from plumbline.plans.skew import GROUP_LIMIT, lookup_join
 
-MAX_BROADCAST_LEXICON = 200_000
+MAX_BROADCAST_LEXICON = 1_000_000
 
 _STEADY = 9  # sums are rounded here, so that the order of rows does not show
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.sources.readers import read_spread
+
+# tables that start long chains of work, with the column that spreads their rows
+_SPREAD = {"lineitem": "l_orderkey", "documents": "doc_id"}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return read_spread(spark, path, _SPREAD[name]) if name in _SPREAD else spark.read.parquet(path)
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,6 +35,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Parquet for work that is heavy per row, with at least one task per core.
+
+    A scan has one task per row group at most. Where that leaves cores idle (a few
+    large files) rows are spread by the hash of ``key``; a scan with enough tasks is
+    left alone.
+    """
+    df = read_table(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_degree_histogram(spark: SparkSession, path: str) -> DataFrame:
     """[degree, frequency] from CSV files with a header line."""
     return spark.read.schema(schemas.DEGREE_CSV).option("header", True).csv(path)
