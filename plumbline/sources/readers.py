@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.sources import schemas
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Review JSON lines with the column names used throughout."""
+    c = F.col
     raw = spark.read.schema(schemas.REVIEW_JSON).json(path)
     return raw.select(
-        raw.reviewerID.alias("src"),
-        raw.asin.alias("dst"),
-        raw.overall,
-        raw.reviewerName.alias("reviewer_name"),
-        raw.verified,
-        raw.vote,
-        raw.reviewTime.alias("review_time"),
-        raw.unixReviewTime.alias("unix_review_time"),
-        raw.summary,
-        raw.reviewText.alias("review_text"),
+        c("reviewerID").alias("src"),
+        c("asin").alias("dst"),
+        c("overall"),
+        c("reviewerName").alias("reviewer_name"),
+        c("verified"),
+        c("vote"),
+        c("reviewTime").alias("review_time"),
+        c("unixReviewTime").alias("unix_review_time"),
+        c("summary"),
+        c("reviewText").alias("review_text"),
     )
 
 
