@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import masses
-from plumbline.plans.skew import GROUP_LIMIT, degree_join
+from plumbline.operators.graph import heavy_vertices
+from plumbline.plans.skew import GROUP_LIMIT, lookup_join
 
 _DIGITS = 4
 
@@ -19,17 +20,17 @@ def endpoint_evidence(
     where both endpoints occur once those messages are still (1, 1) and are halved.
     """
     users = vertices.where(F.col("type") == "u").select(
-        "id", "deg", F.col("p_fraud").alias("fraudster"), F.col("p_honest").alias("honest")
+        "id", F.col("p_fraud").alias("fraudster"), F.col("p_honest").alias("honest")
     )
     products = vertices.where(F.col("type") == "p").select(
-        "id", "deg", F.col("p_bad").alias("bad"), F.col("p_good").alias("good")
+        "id", F.col("p_bad").alias("bad"), F.col("p_good").alias("good")
     )
     e = edges.select(
         "edge_id", "src", "dst", "u_deg", "p_deg", "s", "mu_fraud", "mu_honest", "mp_bad", "mp_good", *carry
     )
-    spread = ["edge_id"]
-    e = degree_join(e, users, "src", "id", "u_deg", "deg", limit=limit, spread=spread)
-    e = degree_join(e, products, "dst", "id", "p_deg", "deg", limit=limit, spread=spread)
+    heavy = heavy_vertices(vertices, limit)
+    e = lookup_join(e, users, "src", "id", spread=["edge_id"], heavy=heavy["u"])
+    e = lookup_join(e, products, "dst", "id", spread=["edge_id"], heavy=heavy["p"])
     messages = {"fraudster": "mu_fraud", "honest": "mu_honest", "bad": "mp_bad", "good": "mp_good"}
     e = e.withColumns({c: F.round(c, _DIGITS) for c in ["s", *messages, *messages.values()]})
     halve = (F.col("u_deg") == 1) & (F.col("p_deg") == 1)

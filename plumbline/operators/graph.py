@@ -100,7 +100,11 @@ def review_edges(reviews: DataFrame, edge_label: str) -> DataFrame:
     """Reviews as edges, ``edge_id`` = label followed by the rank in review time."""
     edges = reviews.drop("reviewer_name")
     leading = ["unix_review_time", "src", "dst"]
-    order = leading + [c for c in edges.columns if c not in leading]
+    texts = [c for c in edges.columns if c in ("summary", "review_text")]
+    order = leading + [c for c in edges.columns if c not in leading + texts]
+    if texts:
+        # range bounds are sampled to the driver, so long texts only enter as a hash
+        order.append(F.xxhash64(*texts))
     numbered = number_rows(edges, order, "_rank")
     return numbered.select(
         F.concat(F.lit(edge_label), F.col("_rank").cast("string")).alias("edge_id"), *edges.columns
@@ -119,14 +123,23 @@ def with_endpoint_degrees(edges: DataFrame, vertices: DataFrame, limit: int = GR
 
     An edge whose user or product is not among the vertices is left out.
     """
-    top = {row["type"]: row["top"] for row in vertices.groupBy("type").agg(F.max("deg").alias("top")).collect()}
+    heavy = heavy_vertices(vertices, limit)
     for end, kind, deg, single in _ENDS:
         known = vertices.where(F.col("type") == kind).select("id", F.col("deg").alias(deg))
-        heavy = heavy_among(known, "id", deg, limit) if top.get(kind, 0) > limit else None
-        edges = lookup_join(edges, known, end, "id", heavy=heavy).withColumn(single, F.col(deg) == 1)
+        edges = lookup_join(edges, known, end, "id", heavy=heavy[kind]).withColumn(single, F.col(deg) == 1)
     return edges
 
 
+def heavy_vertices(vertices: DataFrame, limit: int = GROUP_LIMIT) -> dict[str, DataFrame | None]:
+    """Heavy users ('u') and products ('p') for joins by vertex, by their recorded degree."""
+    tops = vertices.groupBy("type").agg(F.max("deg").alias("top")).collect()  # one row per type
+    found = {row["type"] for row in tops if row["top"] > limit}
+    return {
+        kind: heavy_among(vertices.where(F.col("type") == kind), "id", "deg", limit) if kind in found else None
+        for kind in ("u", "p")
+    }
+
+
 def with_degree_flags(edges: DataFrame, vertices: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Like :func:`with_endpoint_degrees`, but an unknown endpoint counts as degree 1."""
     for end, kind, deg, single in _ENDS:

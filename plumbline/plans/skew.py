@@ -18,6 +18,7 @@ GROUP_LIMIT = 1_000_000
 HEAVY_KEY = "_heavy_key"
 _SALT = "_salt"
 _SALTS = "_salts"
+_NULL_SALTS = 1 << 20
 
 
 def salts_for(rows: Column, limit: int) -> Column:
@@ -70,12 +71,20 @@ def lookup_join(
     table = table.withColumnRenamed(table_key, lookup)
     if isinstance(heavy, str):
         heavy = if_any(heavy_keys(rows, key, limit))
+    hashed = F.xxhash64(*[F.col(c) for c in spread or rows.columns])
+    # rows without a key match nothing, but a left join keeps them: spread those as well
+    keyless = F.when(F.col(key).isNull(), F.pmod(hashed, F.lit(_NULL_SALTS)))
     if heavy is None:
-        return rows.join(table, F.col(key) == F.col(lookup), how).drop(lookup)
+        if how == "inner":
+            return rows.join(table, F.col(key) == F.col(lookup)).drop(lookup)
+        salted_rows = rows.withColumn(_SALT, F.coalesce(keyless, F.lit(0)).cast("int"))
+        # always 0, in a form that is not folded away and so stays part of the join key
+        zero = F.pmod(F.xxhash64(lookup), F.lit(1)).cast("int")
+        return _join_salted(salted_rows, table.withColumn("_lookup_salt", zero), key, lookup, how)
     listed = F.broadcast(heavy)
     salted_rows = (
         rows.join(listed, F.col(key) == F.col(HEAVY_KEY), "left")
-        .withColumn(_SALT, F.when(F.col(_SALTS).isNull(), 0).otherwise(_salt(spread or rows.columns, F.col(_SALTS))))
+        .withColumn(_SALT, F.coalesce(keyless, F.pmod(hashed, F.col(_SALTS)), F.lit(0)).cast("int"))
         .drop(HEAVY_KEY, _SALTS)
     )
     salted_table = (
@@ -86,32 +95,6 @@ def lookup_join(
     return _join_salted(salted_rows, salted_table, key, lookup, how)
 
 
-def degree_join(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    table_key: str,
-    row_degree: str,
-    table_degree: str,
-    how: str = "inner",
-    limit: int = GROUP_LIMIT,
-    spread: list[str] | None = None,
-) -> DataFrame:
-    """:func:`lookup_join` for rows and tables that already carry the key's row count.
-
-    Both sides derive the salts from that count, so nothing is counted or
-    broadcast. ``table_key`` and ``table_degree`` are dropped from the result.
-    """
-    lookup = "_lookup_key"
-    salted_rows = rows.withColumn(_SALT, _salt(spread or rows.columns, salts_for(F.col(row_degree), limit)))
-    salted_table = (
-        table.withColumnRenamed(table_key, lookup)
-        .withColumn("_lookup_salt", F.explode(F.sequence(F.lit(0), salts_for(F.col(table_degree), limit) - 1)))
-        .drop(table_degree)
-    )
-    return _join_salted(salted_rows, salted_table, key, lookup, how)
-
-
 def add_group_sum(rows: DataFrame, key: str, value: Column, total: str, heavy: Column | None = None) -> DataFrame:
     """Give every row the sum of ``value`` over all rows with its ``key``.
 
@@ -129,10 +112,6 @@ def add_group_sum(rows: DataFrame, key: str, value: Column, total: str, heavy: C
     return rows.where(~heavy).withColumn(total, in_place).unionByName(crowded)
 
 
-def _salt(spread: list[str], salts: Column) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in spread]), salts).cast("int")
-
-
 def _join_salted(rows, table, key, lookup, how):
     on = (F.col(key) == F.col(lookup)) & (F.col(_SALT) == F.col("_lookup_salt"))
     return rows.join(table, on, how).drop(_SALT, "_lookup_salt", lookup)

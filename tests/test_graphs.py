@@ -145,10 +145,21 @@ def test_salted_join_equals_plain_join(spark, how):
     plain = rows.join(table, rows.k == table.id, how).drop("id")
     salted = skew.lookup_join(rows, table, "k", "id", how, limit=10)
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-    sized = rows.join(rows.groupBy("k").count(), "k").withColumnRenamed("count", "n")
-    counted = table.join(rows.groupBy(F.col("k").alias("id")).agg(F.count(F.lit(1)).alias("m")), "id")
-    by_degree = skew.degree_join(sized, counted, "k", "id", "n", "m", how, limit=10).select("k", "i", "v")
-    assert sorted(map(tuple, by_degree.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+@pytest.mark.parametrize("limit", [10, 1000])
+def test_rows_without_a_key_are_kept_and_spread(spark, limit):
+    rows = spark.createDataFrame([(None if i % 2 else "k", i) for i in range(200)], "k string, i int")
+    table = spark.createDataFrame([("k", 1)], "id string, v int")
+    joined = skew.lookup_join(rows, table, "k", "id", "left", limit=limit)
+    assert {(r.i, r.v) for r in joined.collect()} == {(i, None if i % 2 else 1) for i in range(200)}
+    if limit == 1000:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            plan = skew.lookup_join(rows, table, "k", "id", "left", heavy=None)._jdf.queryExecution().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "hashpartitioning(k" in plan and "_salt" in plan.split("hashpartitioning(k", 1)[1][:40]
 
 
 def test_endpoint_degrees_with_heavy_ids(spark):

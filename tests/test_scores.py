@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import buckets, masses
 from plumbline.functions.scoring import signed_score
-from plumbline.operators import scoring
+from plumbline.operators import beliefs, fusion, graph, scoring
 from plumbline.operators.sentiment import lexicon_sentiment
 
 REVIEW = "overall double, vote string, compound double"
@@ -149,3 +149,14 @@ def test_whole_percent_halves_go_to_even(spark):
     df = spark.createDataFrame([(1, 8), (3, 8), (1, 3), (1, 1), (0, 7)], "n int, total int")
     got = [r.p for r in df.select(buckets.whole_percent(F.col("n"), F.col("total")).alias("p")).collect()]
     assert got == [12.0, 38.0, 33.0, 100.0, 0.0]
+
+
+def test_labels_with_heavy_vertices(spark):
+    rows = [(f"e{i}", "u0" if i < 30 else f"u{i % 7}", f"p{i % 3}", 0.5 if i % 2 else -0.5) for i in range(60)]
+    edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, s double")
+    vertices = graph.degrees(edges)
+    v, e = beliefs.init_beliefs(vertices, graph.with_endpoint_degrees(edges, vertices))
+    settled = beliefs.run_lbp(e, 2)
+    nodes = beliefs.node_beliefs(v, settled)
+    few, many = (sorted(map(str, fusion.fuse_review_labels(nodes, settled, limit=n).collect())) for n in (5, 1000))
+    assert few == many and len(few) == 60
