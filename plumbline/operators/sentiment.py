@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions import valence as v
 from plumbline.functions.scoring import stronger_side
-from plumbline.plans.skew import GROUP_LIMIT, lookup_join
+from plumbline.plans.cutting import cut
+from plumbline.plans.skew import GROUP_LIMIT, heavy_keys, if_any, lookup_join
 
 MAX_BROADCAST_LEXICON = 1_000_000
 
@@ -40,9 +41,12 @@ def lexicon_sentiment(
         table = lexicon.withColumnRenamed("_valence", found)
         if small:
             return rows.join(F.broadcast(table), F.col(word) == F.col("_token"), "left").drop("_token")
-        return lookup_join(rows, table, word, "_token", "left", group_limit, spread=[id_col, "_at"])
+        return lookup_join(rows, table, word, "_token", "left", spread=[id_col, "_at"], heavy=heavy)
 
-    words = meet(_words_in_context(texts, id_col, text_col), "_word", "_base")
+    words = _words_in_context(texts, id_col, text_col)
+    # a word precedes others at most as often as it occurs, so one count serves all joins
+    heavy = None if small else if_any(cut(heavy_keys(words, "_word", group_limit)))
+    words = meet(words, "_word", "_base")
     modifier = v.is_modifier(F.col("_word"), F.col("_after_1"))
     # every text keeps its header row (no word), so texts without a hit survive
     words = words.where(F.col("_word").isNull() | (F.col("_base").isNotNull() & ~modifier))

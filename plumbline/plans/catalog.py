@@ -193,11 +193,14 @@ def lexicon_sentiment_documents(spark, folder):
 
 @query
 def repair_zero_compound(spark, folder):
-    """Document sentiment as review sentiment, with weak compounds flattened to 0."""
-    flat = F.abs(F.col("compound")) < 0.5
-    moods = _document_sentiment(spark, folder).withColumn("compound", F.when(flat, 0.0).otherwise(F.col("compound")))
-    wordless = flat & (F.col("doc_id") % 2 == 0)
-    moods = moods.withColumns({c: F.when(wordless, 0.0).otherwise(F.col(c)) for c in ("pos", "neg")})
+    """Document sentiment as review sentiment: weak compounds count as 0, the weakest as wordless."""
+    strength = F.abs(F.col("compound"))
+    moods = _document_sentiment(spark, folder).withColumns(
+        {
+            "compound": F.when(strength < 0.8, 0.0).otherwise(F.col("compound")),
+            **{c: F.when(strength < 0.4, 0.0).otherwise(F.col(c)) for c in ("pos", "neg")},
+        }
+    )
     rows = _reviews(spark, folder).select("src", "dst", "unix_review_time", "overall", "doc_id").join(moods, "doc_id")
     return scoring.repair_zero_compound(rows).select(
         "src", "dst", "unix_review_time", *even("neg", "neu", "pos", "compound", "pos_or_neg")
