@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.sources.readers import read_spread
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_spread(spark, path, _SPREAD[name]) if name in _SPREAD else spark.read.parquet(path)
 
 
+def _epoch_seconds(moment: str) -> Column:
+    """Seconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    day = F.unix_date(F.to_date(moment)).cast("bigint")
+    return day * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+
+
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """All order lines as reviews of parts by customers.
 
@@ -45,7 +51,7 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
             (c("l_returnflag") != "R").alias("verified"),
             vote.alias("vote"),
             F.concat(c("c_name"), F.when(number == 3, " Jr").otherwise("")).alias("reviewer_name"),
-            F.unix_timestamp(c("l_shipdate").cast("timestamp")).alias("unix_review_time"),
+            _epoch_seconds("l_shipdate").alias("unix_review_time"),
             F.round(c("l_discount") * 20 - 1, 2).alias("compound"),
             (c("l_orderkey") % documents).alias("doc_id"),
             c("p_type").alias("category"),
@@ -69,7 +75,7 @@ def offer_reviews(spark: SparkSession, folder: str) -> DataFrame:
         (1 + c("l_quantity").cast("int") % 5).alias("overall"),
         (c("l_returnflag") != "R").alias("verified"),
         (c("l_orderkey") % 40).cast("string").alias("vote"),
-        F.unix_timestamp(c("l_shipdate").cast("timestamp")).alias("unix_review_time"),
+        _epoch_seconds("l_shipdate").alias("unix_review_time"),
         F.round(c("l_discount") * 20 - 1, 2).alias("compound"),
         c("p_type").alias("category"),
     )
