@@ -5,9 +5,9 @@
 2. The driver gets the histogram of piece lengths: at most ``capacity`` numbers.
 3. Patterns of up to three length classes that fill a sequence are enumerated; repeat
    counts are fitted to the histogram by non-negative least squares and rounded down.
-   Each class pattern is filled with the real lengths of its classes. What is left over
-   is packed best-fit, longest first, into the space the patterns leave and then into
-   new sequences. All of this works on counts of lengths, never on documents.
+   All but the smallest class of a pattern are filled with real lengths; the smallest,
+   and what the rounding left over, is packed best-fit, longest first, into the space
+   the patterns leave and then into new sequences, so that classes waste nothing. All of this works on counts of lengths, never on documents.
 4. Pieces are numbered in order of length; the plan is a list of runs in that order, so
    each piece finds its place by binary search.
 """
@@ -198,7 +198,7 @@ def packing_plan(counts: np.ndarray, capacity: int = CAPACITY, classes: int = CL
     left = counts.copy()
     for pattern, repeats in fitted_counts(counts, capacity, classes):
         slots = []
-        for size in pattern:  # the longest pieces of the class that are left, as runs
+        for size in pattern[:-1] or pattern:  # the longest pieces of the class that are left, as runs
             runs, need = [], repeats
             for length in range(min(size * unit, capacity), (size - 1) * unit, -1):
                 take = min(need, int(left[length]))
