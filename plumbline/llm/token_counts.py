@@ -10,7 +10,6 @@ tokenizer's own.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from plumbline.llm.common import slices, texts_of
 
 #: Fields in the broadcast table, and the documents they are taken from (parameters of speed only).
 TABLE_SIZE = 1 << 16
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 10_000
 #: A worker's cache is emptied beyond so many fields; longer fields are not kept.
 CACHE_SIZE = 1 << 18
 KEPT_LENGTH = 64
@@ -56,19 +55,17 @@ def fields_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def frequent_fields(docs: DataFrame, text: str, size: int = TABLE_SIZE, sample: int = SAMPLE_DOCS) -> pa.Array:
-    """The commonest fields of a bounded sample of ``docs``, counted on the executors."""
+    """The commonest fields of a bounded sample of ``docs``.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in slices(batches, "text"):
-            found = pc.value_counts(fields_of(texts_of(batch, "text"))[0])
-            seen.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())))
-        top = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size] if n > 1 and len(w) <= KEPT_LENGTH]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], ["field"])
-
-    some = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).limit(sample)
-    rows = some.mapInArrow(count, "field string").limit(size).collect()
-    return pa.array(sorted({r[0] for r in rows}), pa.string())
+    A limited collect reads only as many partitions as it takes, and moves at most
+    ``sample`` texts of ``SAMPLE_CHARS`` characters.
+    """
+    known = F.col(text).isNotNull() & (F.length(F.col(text)) <= SAMPLE_CHARS)
+    texts = pa.array([r[0] for r in docs.where(known).select(text).limit(sample).collect()], pa.string())
+    found = pc.value_counts(fields_of(texts)[0])
+    counted = zip(found.field("values").to_pylist(), found.field("counts").to_pylist())
+    top = sorted((w for w in counted if w[1] > 1 and len(w[0]) <= KEPT_LENGTH), key=lambda w: (-w[1], w[0]))
+    return pa.array([w for w, _ in top[:size]], pa.string())
 
 
 def count_tokens(
