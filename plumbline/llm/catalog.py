@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
+from plumbline.llm.html_text import extract
 from plumbline.llm.language_id import identify
 from plumbline.llm.packing import pack
 from plumbline.llm.token_counts import count_tokens
@@ -32,6 +33,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
