@@ -14,9 +14,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,46 +35,59 @@ END_ID = 1
 CLASSES = 64
 #: Weight of classes shorter than 1/SHORT of a sequence in the fit: they fill gaps later.
 SHORT, SHORT_WEIGHT = 16, 0.1
-CACHE_SIZE = 1 << 18
-KEPT_LENGTH = 64
+#: Words whose ids a worker keeps, and bytes of text it encodes together.
+CACHE_SIZE, SLICE = 450_000, 2_000_000
 
 
 class WordCoder:
     """Token ids of many texts at once, each distinct word encoded once.
 
     The tokenizer drops white space and splits at it, so a text's ids are those of its
-    words (runs without ASCII white space), joined.
+    words (runs without ASCII white space), joined. It also splits between a letter or
+    digit and the punctuation after it, so that is taken off first; and case is dropped,
+    so ASCII words are looked up in lower case.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._cache: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._slots: dict[str, int] = {}
+        self._pool = np.zeros(0, np.uint32)
+        self._starts = self._sizes = np.zeros(0, np.int64)
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The slot of each word, of which new ones get one."""
+        if len(self._slots) + len(words) > CACHE_SIZE:
+            self._forget()
+        new = list(dict.fromkeys(w for w in words if w not in self._slots))
+        ids = []
+        for at in range(0, len(new), 10_000):  # results of the tokenizer are large
+            ids += [e.ids for e in self._tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        total = int(sizes.sum())
+        self._starts = np.concatenate([self._starts, len(self._pool) + np.cumsum(sizes) - sizes])
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._pool = np.concatenate([self._pool, np.fromiter(chain.from_iterable(ids), np.uint32, total)])
+        self._slots.update(zip(new, range(len(self._slots), len(self._slots) + len(new))))
+        return np.fromiter((self._slots[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as uint32, and the number of ids of each text."""
-        lists = pc.ascii_split_whitespace(texts)
+        apart = pc.replace_substring_regex(texts, r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])", r"\1 \2")
+        lists = pc.ascii_split_whitespace(apart)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self._cache]
-        fetched = {
-            w: np.array(e.ids, np.uint32)
-            for w, e in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False))
-        }
-        own = [x if (x := self._cache.get(w)) is not None else fetched[w] for w in words]
-        if len(self._cache) + len(fetched) > CACHE_SIZE:
-            self._cache = {}
-        self._cache.update((w, x) for w, x in fetched.items() if len(w) <= KEPT_LENGTH)
-        sizes = np.array([len(x) for x in own], np.int64)
-        pool = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        at = coded.indices.to_numpy()
-        counts = sizes[at]
-        ids = pool[ranges((np.cumsum(sizes) - sizes)[at], counts)]
+        words = [w.lower() if w.isascii() and "<" not in w else w for w in coded.dictionary.to_pylist()]
+        at = self._known(words)[coded.indices.to_numpy()]
+        counts = self._sizes[at]
+        ids = self._pool[ranges(self._starts[at], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-        return ids, ends[stops.astype(np.int64)] - ends[starts] if len(stops) else np.zeros(0, np.int64)
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        return ids, np.diff(ends[np.concatenate([[0], stops])])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -86,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(tokenizer_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, sizes = coder.encode(texts_of(batch, "text"))
             base = np.cumsum(sizes) - sizes
             full = sizes + 1
