@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import quality, secret_scan
+from plumbline.llm import line_dedup, quality, secret_scan
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.html_text import extract
@@ -24,6 +24,14 @@ def query(f):
     return f
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+SQL["op1_line_dedup"] = line_dedup.oracle()
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
