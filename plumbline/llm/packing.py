@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain, groupby
 
 import numpy as np
@@ -90,6 +91,12 @@ class WordCoder:
         return ids, np.diff(ends[np.concatenate([[0], stops])])
 
 
+@cache
+def _coder(path: str) -> WordCoder:
+    """One for all tasks of a worker process, so that its words outlive a task."""
+    return WordCoder(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece of every document.
 
@@ -99,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(tokenizer_path)
+        coder = _coder(tokenizer_path)
         for batch in slices(batches, "text", SLICE):
             ids, sizes = coder.encode(texts_of(batch, "text"))
             base = np.cumsum(sizes) - sizes
