@@ -59,8 +59,8 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All UTF-8 bytes of a string array in a row, and the offsets of its values."""
-    texts = texts.cast(pa.large_string())
+    """All bytes of a string or binary array in a row, and the offsets of its values."""
+    texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -43,12 +43,12 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 class Words:
     """The folded words of many texts: their places in one buffer, and a hash of each."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, fold: bytes = FOLD):
         raw, offsets = flat_bytes(texts)
         # one space after each text keeps the words of neighbours apart
         spread = np.full(len(raw) + len(texts), 32, np.uint8)
         spread[np.arange(len(raw)) + np.repeat(np.arange(len(texts)), np.diff(offsets))] = raw
-        self.buffer = spread.tobytes().translate(FOLD)
+        self.buffer = spread.tobytes().translate(fold)
         folded = np.frombuffer(self.buffer, np.uint8)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], folded != 32, [False]]).astype(np.int8)))
         self.starts, self.ends = edges[::2], edges[1::2]
