@@ -37,7 +37,7 @@ CLASSES = 64
 #: Weight of classes shorter than 1/SHORT of a sequence in the fit: they fill gaps later.
 SHORT, SHORT_WEIGHT = 16, 0.1
 #: Words whose ids a worker keeps, and bytes of text it encodes together.
-CACHE_SIZE, SLICE = 450_000, 2_000_000
+CACHE_SIZE, SLICE = 1_000_000, 2_000_000
 
 
 class WordCoder:
