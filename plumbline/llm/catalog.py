@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard_join, line_dedup, quality, secret_scan
+from plumbline.llm import jaccard_join, line_dedup, quality, secret_scan, suffix_dedup
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.html_text import extract
@@ -55,6 +55,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"), keep_first=False)
+
+
 @query
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))

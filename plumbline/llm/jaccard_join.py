@@ -313,18 +313,19 @@ def keep_first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     First is the smallest id, then (for ids that repeat) the smallest hash of id and
     text; a row that repeats as a whole is kept once. Rows without shingles all stay.
     """
-    own_id, own_key, number = fresh(docs, "own_id", "own_key", "copy")
-    groups = near_duplicates(docs, doc_id, text)
-    linked = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    first = linked.select(F.col("first.doc_id").alias("f_id"), F.col("first.key").alias("f_key"))
-    alone = groups.where("n_shingles = 0").select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key")).distinct()
-    keep = stage(first.union(alone), "first")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own_id, own_key = fresh(docs, "own_id", "own_key")
+    groups = stage(near_duplicates(docs, doc_id, text), "near")
+    linked = groups.where("n_shingles > 0")
+    leading = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    alone = groups.where("n_shingles = 0").select("doc_id", "key").distinct()
+    keep = stage(leading.union(alone).toDF("f_id", "f_key"), "first")
+    again = linked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").toDF("f_id", "f_key", "rows")
+    same = (F.col(own_key) == F.col("f_key")) & F.col(own_id).eqNullSafe(F.col("f_id"))
     rows = docs.withColumns({own_id: F.col(doc_id), own_key: text_key(F.col(doc_id), F.col(text))})
-    kept = rows.join(keep, (F.col(own_key) == F.col("f_key")) & F.col(own_id).eqNullSafe(F.col("f_id")), "left_semi")
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
-    once = kept.where(~blank).dropDuplicates([own_id, own_key])
-    return once.unionByName(kept.where(blank)).drop(number).select(*columns)
+    kept = rows.join(keep, same, "left_semi")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([own_id, own_key]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:
