@@ -24,9 +24,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.llm.common import ascii_lower, text_key
+from plumbline.llm.common import text_key
 from plumbline.plans.cutting import stage
 
+#: What the plain form maps to lower case and to spaces.
+UPPER, LOWER, SPACES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\t\n\x0b\f\r"
 #: Shorter lines match only if equal: one edit makes most short words another word.
 MIN_NEAR = 20
 #: Characters in a block; longer lines get the square root of their length, if that is more.
@@ -35,14 +37,19 @@ BLOCK = 32
 
 def plain(line: Column) -> Column:
     """The form in which lines are compared; empty for a line of white space."""
-    return F.trim(F.regexp_replace(ascii_lower(line), "[ \\t\\n\\x0B\\f\\r]+", " "))
+    folded = F.translate(line, UPPER + SPACES, LOWER + " " * len(SPACES))
+    return F.trim(F.when(F.contains(folded, F.lit("  ")), F.regexp_replace(folded, " +", " ")).otherwise(folded))
+
+
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(" " + SPACES)) == ""
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), text_key(F.col(doc_id), F.col(text)).alias("key"), F.posexplode(F.split(text, "\n")).alias("no", "line")
     )
-    return rows.select("doc_id", "key", "no", plain(F.col("line")).alias("plain")).where("plain <> ''")
+    return rows.where(~_blank(F.col("line"))).select("doc_id", "key", "no", plain(F.col("line")).alias("plain"))
 
 
 def _halves() -> Column:
@@ -146,7 +153,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "row", F.split(F.col("row").getField(text), "\n").alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
     )
     numbers = F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0)))
-    blank = F.filter(numbers, lambda i: plain(F.get("lines", i)) == "")
+    blank = F.filter(numbers, lambda i: _blank(F.get("lines", i)))
     chosen = lined.withColumn("chosen", F.array_intersect(numbers, F.array_union(F.col("kept"), blank)))
     new = F.when(F.col("lines").isNotNull(), F.array_join(F.transform("chosen", lambda i: F.get("lines", i)), "\n"))
     return chosen.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns])
@@ -162,8 +169,7 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def oracle() -> str:
     """The same over ``documents`` in DuckDB, pair by pair."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    norm = f"trim(regexp_replace(translate(line, '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+    norm = f"trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
     return f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
 p AS (SELECT *, {norm} AS plain FROM l),
