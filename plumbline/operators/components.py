@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from plumbline.operators.graph import Graph
-from plumbline.plans.cutting import cut
-from plumbline.plans.skew import GROUP_LIMIT, heavy_among, lookup_join
+from plumbline.operators.numbering import number_rows
+from plumbline.plans.cutting import cut, stage
+from plumbline.plans.skew import GROUP_LIMIT, heavy_among, heavy_keys, if_any, lookup_join
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -18,19 +20,30 @@ def undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(
-    vertices: DataFrame, edges: DataFrame, max_rounds: int = 60, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """[id, component], a component being named after its smallest id.
 
     Alternates the large-star and small-star contractions of Kiveris et al.,
     "Connected Components in MapReduce and Beyond" (SoCC 2014), until every edge
-    points straight at the smallest id, which takes O(log^2 n) rounds.
+    points straight at the smallest id, which takes O(log^2 n) rounds. Ids that are no
+    whole numbers are numbered in their order first, so the rounds move numbers; each
+    round is cut once. Rounds go on until settled; one that changes nothing is an error.
     """
-    links = cut(undirected(edges))
-    for _ in range(max_rounds):
+    links = undirected(edges)
+    ids = None
+    if not isinstance(links.schema["child"].dataType, IntegralType):
+        links = stage(links, "links")
+        ends = links.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
+        ids = stage(number_rows(ends, ["id"], "number"), "ids")
+        for end in ("child", "parent"):
+            known = ids.select(F.col("id").alias("of"), F.col("number").alias(f"{end}_number"))
+            links = lookup_join(links, known, end, "of", limit=group_limit)
+        links = links.select(F.col("child_number").alias("child"), F.col("parent_number").alias("parent"))
+    links = cut(links)
+    before = None
+    while True:
         # per vertex: its smallest neighbour and how many lie on either side
-        around = cut(
+        around = (
             links.select(F.col("child").alias("at"), F.col("parent").alias("other"))
             .unionByName(links.select(F.col("parent").alias("at"), F.col("child").alias("other")))
             .groupBy("at")
@@ -39,20 +52,29 @@ def connected_components(
                 F.count_if(F.col("other") < F.col("at")).alias("below"),
                 F.count_if(F.col("other") > F.col("at")).alias("above"),
             )
+            .persist()
         )
         facts = around.agg(
             F.bool_or((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") > 0))).alias("unsettled"),
             F.max("above").alias("above"),
             F.max("below").alias("below"),
+            F.bit_xor(F.xxhash64("at", "low", "below", "above")).alias("fingerprint"),
         ).first()
         if not facts["unsettled"]:
+            around.unpersist()
             break
+        if facts["fingerprint"] == before:
+            raise RuntimeError("a round of contraction changed nothing")
+        before = facts["fingerprint"]
         heavy = heavy_among(around, "at", "above", group_limit) if facts["above"] > group_limit else None
         # re-pointing can merge a vertex's parents but never add one
         crowded = facts["below"] > group_limit
-        links = _small_star(_large_star(links, around, heavy), group_limit if crowded else None)
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        links = cut(_small_star(_large_star(links, around, heavy), group_limit if crowded else None))
+        around.unpersist()
+    if ids is not None:
+        names = ids.select(F.col("id").alias("name"), F.col("number").alias("of"))
+        links = lookup_join(links, names, "parent", "of", limit=group_limit).select("child", F.col("name").alias("parent"))
+        links = lookup_join(links, names, "child", "of", limit=group_limit).select(F.col("name").alias("child"), "parent")
     return vertices.select("id").distinct().join(links, F.col("id") == F.col("child"), "left").select(
         "id", F.coalesce("parent", "id").alias("component")
     )
@@ -62,7 +84,7 @@ def _large_star(links, around, heavy):
     """Re-point every larger neighbour of a vertex at the vertex's smallest neighbour."""
     shortcuts = around.where(F.col("low") < F.col("at")).select(F.col("at").alias("via"), "low")
     moved = lookup_join(links, shortcuts, "parent", "via", how="left", heavy=heavy)
-    return cut(moved.select("child", F.coalesce("low", "parent").alias("parent")))
+    return moved.select("child", F.coalesce("low", "parent").alias("parent"))
 
 
 def _small_star(links, group_limit):
@@ -78,16 +100,18 @@ def _small_star(links, group_limit):
         .where(F.col("parent") != F.col("low"))
         .select(F.col("parent").alias("child"), F.col("low").alias("parent"))
     )
-    return cut(single.unionByName(siblings).distinct())
+    return single.unionByName(siblings).distinct()
 
 
 def label_endpoints(
     edges: DataFrame, components: DataFrame, how: str = "inner", group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Edges with ``src_component`` and ``dst_component``."""
+    """Edges with ``src_component`` and ``dst_component``; with ``how="left"`` null for unknown ids."""
+    # both ends are measured on the edges as they came, not on the first join
+    heavy = {end: if_any(cut(heavy_keys(edges, end, group_limit))) for end in ("src", "dst")}
     for end in ("src", "dst"):
         named = components.select(F.col("id").alias("_member"), F.col("component").alias(f"{end}_component"))
-        edges = lookup_join(edges, named, end, "_member", how=how, limit=group_limit)
+        edges = lookup_join(edges, named, end, "_member", how=how, heavy=heavy[end])
     return edges
 
 
@@ -100,15 +124,15 @@ def cross_component_edges(
 
 
 def same_component(pairs: DataFrame, components: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Pairs [src, dst, ...] with a boolean ``same_component``."""
-    labelled = label_endpoints(pairs, components, group_limit=group_limit)
+    """Pairs [src, dst, ...] with a boolean ``same_component``, null if an id is in no component."""
+    labelled = label_endpoints(pairs, components, how="left", group_limit=group_limit)
     return labelled.withColumn("same_component", F.col("src_component") == F.col("dst_component")).drop(
         "src_component", "dst_component"
     )
 
 
 def pairs_across_components(pairs: DataFrame, components: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """The pairs whose two ids lie in different components."""
+    """The pairs whose two ids are known to lie in different components."""
     return same_component(pairs, components, group_limit).where(~F.col("same_component")).drop("same_component")
 
 
@@ -142,30 +166,39 @@ def has_cycle(graph: Graph, group_limit: int = GROUP_LIMIT) -> bool:
     return cycle_report(graph, group_limit).first()["has_cycle"]
 
 
-def cycle_core(graph: Graph, max_rounds: int = 3000, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def cycle_core(graph: Graph, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """[id] of the vertices left after peeling dead ends again and again.
 
     Every cycle lies inside the result, as do the paths between cycles. A self-loop
-    keeps its vertex.
+    keeps its vertex. A round removes whole chains: vertices with at most two links
+    form paths, and a path with a dead end unravels from there. What becomes a dead end
+    then had lost two chains or more, so the rounds grow with the logarithm of the size.
     """
     looped = cut(graph.edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id")).distinct())
     links = cut(undirected(graph.edges))
-    for _ in range(max_rounds):
+    while True:
         ends = links.select(F.col("child").alias("at")).unionByName(links.select(F.col("parent").alias("at")))
-        reach = ends.groupBy("at").agg(F.count(F.lit(1)).alias("links"))
-        reach = cut(reach)
-        tips = reach.where(F.col("links") == 1).join(looped, F.col("at") == F.col("id"), "left_anti").select("at")
-        facts = reach.agg(F.max("links")).first()
+        reach = cut(ends.groupBy("at").agg(F.count(F.lit(1)).alias("links")))
+        thin = reach.where(F.col("links") <= 2).join(looped, F.col("at") == F.col("id"), "left_anti")
+        tips = thin.where(F.col("links") == 1).select(F.col("at").alias("tip"))
         if tips.isEmpty():
             return reach.select(F.col("at").alias("id")).union(looped).distinct()
-        heavy = heavy_among(reach, "at", "links", group_limit) if facts[0] > group_limit else None
-        links = cut(_without_tips(links, tips, heavy))
-    raise RuntimeError(f"dead ends left after {max_rounds} rounds")
+        thin = thin.select("at")
+        chain = links.join(thin, F.col("child") == F.col("at"), "left_semi").join(thin, F.col("parent") == F.col("at"), "left_semi")
+        paths = connected_components(
+            thin.select(F.col("at").alias("id")), chain.select(F.col("child").alias("src"), F.col("parent").alias("dst")), group_limit
+        )
+        paths = cut(paths)
+        open_ended = paths.join(tips, F.col("id") == F.col("tip"), "left_semi").select(F.col("component").alias("path")).distinct()
+        gone = paths.join(open_ended, F.col("component") == F.col("path"), "left_semi").select("id")
+        most = reach.agg(F.max("links")).first()[0]
+        heavy = heavy_among(reach, "at", "links", group_limit) if most > group_limit else None
+        links = cut(_without(links, gone, heavy))
 
 
-def _without_tips(links, tips, heavy):
-    """Drop every link that ends in one of ``tips``."""
+def _without(links, gone, heavy):
+    """Drop every link that ends in one of ``gone``."""
     for end in ("child", "parent"):
-        marked = tips.select(F.col("at").alias("tip"), F.lit(True).alias(f"{end}_tip"))
-        links = lookup_join(links, marked, end, "tip", how="left", heavy=heavy)
-    return links.where(F.col("child_tip").isNull() & F.col("parent_tip").isNull()).select("child", "parent")
+        marked = gone.select(F.col("id").alias("_gone"), F.lit(True).alias(f"{end}_gone"))
+        links = lookup_join(links, marked, end, "_gone", how="left", heavy=heavy)
+    return links.where(F.col("child_gone").isNull() & F.col("parent_gone").isNull()).select("child", "parent")

@@ -16,8 +16,9 @@ def endpoint_evidence(
 ) -> DataFrame:
     """Edges with ``fraudster``, ``honest``, ``bad``, ``good``, rounded to 4 places.
 
-    An endpoint without a belief lends the message that reached it over this edge;
-    where both endpoints occur once those messages are still (1, 1) and are halved.
+    An endpoint without a belief lends the message that reached it over this edge, as
+    a pair that adds up to 1: one that was never updated is still (1, 1) and says
+    nothing for either side.
     """
     users = vertices.where(F.col("type") == "u").select(
         "id", F.col("p_fraud").alias("fraudster"), F.col("p_honest").alias("honest")
@@ -33,12 +34,13 @@ def endpoint_evidence(
     e = lookup_join(e, products, "dst", "id", spread=["edge_id"], heavy=heavy["p"])
     messages = {"fraudster": "mu_fraud", "honest": "mu_honest", "bad": "mp_bad", "good": "mp_good"}
     e = e.withColumns({c: F.round(c, _DIGITS) for c in ["s", *messages, *messages.values()]})
-    halve = (F.col("u_deg") == 1) & (F.col("p_deg") == 1)
+    totals = {
+        c: F.col(pair[0]) + F.col(pair[1])
+        for pair in (("mu_fraud", "mu_honest"), ("mp_bad", "mp_good"))
+        for c in pair
+    }
     return e.withColumns(
-        {
-            own: F.coalesce(own, message) / F.when(halve, 2.0).otherwise(1.0)
-            for own, message in messages.items()
-        }
+        {own: F.coalesce(own, F.try_divide(message, totals[message])) for own, message in messages.items()}
     )
 
 

@@ -16,8 +16,8 @@ def normalise_by_max(scores: DataFrame, column: str) -> DataFrame:
 
 
 def complete_scores(vertices: DataFrame, scores: DataFrame, column: str) -> DataFrame:
-    """[id, column] for every vertex, 0 where it has no score."""
-    return vertices.select("id").join(scores.select("id", column), "id", "left").withColumn(
+    """[id, column]: every score, and 0 for every vertex that has none."""
+    return vertices.select("id").join(scores.select("id", column), "id", "full").withColumn(
         column, F.coalesce(column, F.lit(0.0))
     )
 
@@ -33,6 +33,8 @@ def hits(
 ) -> tuple[DataFrame, DataFrame]:
     """(hubs [id, h_score], authorities [id, a_score]), largest score 1.
 
+    An id that has edges but is not among ``vertices`` keeps the scores it gets.
+
     Every iteration sums hub scores over in-edges, then authority scores over
     out-edges; parallel edges count each time, so they are folded into one weighted
     edge up front, and the scores travel on the edges. Both sums are linear: dividing

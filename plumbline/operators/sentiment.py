@@ -30,11 +30,13 @@ def lexicon_sentiment(
 ) -> DataFrame:
     """[id_col, neg, neu, pos, compound, pos_or_neg] for every text.
 
-    ``lexicon`` is [token, valence] with unique lower-case tokens. Up to
+    ``lexicon`` is [token, valence] with lower-case tokens; of a token listed more than
+    once the lowest valence counts. Up to
     ``max_broadcast`` of them are broadcast; a larger lexicon is shuffled, with
     frequent words salted. A null text counts as empty.
     """
-    lexicon = lexicon.select(F.col("token").alias("_token"), F.col("valence").cast("double").alias("_valence"))
+    valence = F.min(F.col("valence").cast("double")).alias("_valence")
+    lexicon = lexicon.groupBy(F.col("token").alias("_token")).agg(valence)
     small = lexicon.limit(max_broadcast + 1).count() <= max_broadcast
 
     def meet(rows: DataFrame, word: str, found: str) -> DataFrame:

@@ -170,8 +170,9 @@ def vote_rating_parse(spark, folder):
 
 @query
 def rejected_rows(spark, folder):
-    """Ratings shifted by one star, so that a fifth of them is out of range."""
-    return scoring.rejected_rows(_reviews(spark, folder).withColumn("overall", F.col("overall") + 1))
+    """Ratings shifted by one star, so that a fifth is out of range; the votes of another fifth are words."""
+    vote = F.when(F.col("overall") == 3, "many").otherwise(F.col("vote"))
+    return scoring.rejected_rows(_reviews(spark, folder).withColumns({"vote": vote, "overall": F.col("overall") + 1}))
 
 
 @query
@@ -253,6 +254,13 @@ def lbp_iterate(spark, folder):
     return _messages(_lbp(_reviews(spark, folder))[1])
 
 
+@query
+def lbp_iterate_crowded(spark, folder):
+    """The same as ``lbp_iterate`` with every vertex of more than 25 edges treated as heavy."""
+    _, start = _belief_graph(_reviews(spark, folder))
+    return _messages(beliefs.run_lbp(start, ITERATIONS, group_limit=25))
+
+
 @query
 def lbp_iterate_sparse(spark, folder):
     return _messages(_lbp(_offers(spark, folder))[1])
@@ -322,6 +330,24 @@ def fuse_review_labels(spark, folder):
     )
 
 
+@query
+def fuse_plain_sentiment(spark, folder):
+    """Labels where the score is plain sentiment, so that many messages are never answered."""
+    scored = stage(_scored(_offers(spark, folder)).withColumn("s", F.col("compound")), "plain")
+    vertices, start = beliefs.init_beliefs(graph.degrees(scored), scored)
+    settled = beliefs.run_lbp(start, ITERATIONS)
+    labelled = fusion.fuse_review_labels(beliefs.node_beliefs(vertices, settled), settled)
+    return labelled.select("edge_id", *even("fake", "genuine", "uncertainty"), "label")
+
+
+@query
+def review_mass_map(spark, folder):
+    """The rounded masses as one map, in readable form."""
+    mapped = fusion.with_mass_map(_labelled(_offers(spark, folder)))
+    parts = [F.concat_ws("=", F.lit(k), (100 * F.col("masses")[k]).cast("decimal(9,0)").cast("string")) for k in ("fake", "genuine", "uncertainty")]
+    return mapped.select("edge_id", F.concat_ws(" ", *parts).alias("masses"), F.size("masses").alias("entries"))
+
+
 @query
 def review_labels_dense(spark, folder):
     return reports.label_shares(_labelled(_reviews(spark, folder))).select("label", "reviews", *even("share"))
@@ -374,6 +400,23 @@ def hits_authorities(spark, folder):
     return _hits(spark, folder)[1].select("id", *even("a_score"))
 
 
+def _users_known(spark, folder):
+    """HITS with only the users of verified reviews listed as vertices."""
+    edges = _reviews(spark, folder)
+    users = graph.degrees(edges.where("verified")).where("type = 'u'")
+    return hits.hits(users.select("id"), edges.select("src", "dst"), 3, group_limit=40)
+
+
+@query
+def hits_hubs_of_unlisted(spark, folder):
+    return _users_known(spark, folder)[0].select("id", *even("h_score"))
+
+
+@query
+def hits_authorities_of_unlisted(spark, folder):
+    return _users_known(spark, folder)[1].select("id", *even("a_score"))
+
+
 def _components(g: Graph) -> DataFrame:
     return components.connected_components(g.vertices, g.edges)
 
@@ -392,9 +435,10 @@ def cross_component_edges(spark, folder):
 
 
 def _account_pairs(spark, folder):
+    """Accounts of neighbouring orders, some of which have no review, and accounts with what they reviewed."""
     order = commerce.table(spark, folder, "orders")
     account = [F.concat(F.lit("u"), (F.col("o_orderkey") + i).cast("string")) for i in (0, 1)]
-    return order.select(account[0].alias("src"), account[1].alias("dst"))
+    return order.select(account[0].alias("src"), account[1].alias("dst")).union(_offers(spark, folder).select("src", "dst"))
 
 
 @query
@@ -411,7 +455,11 @@ def pairs_across_components(spark, folder):
 
 @query
 def has_cycle(spark, folder):
-    return components.cycle_report(_offer_graph(spark, folder))
+    """Offers, where cycles are rare, and customers with parts, where they are not."""
+    edges = _reviews(spark, folder)
+    found = components.cycle_report(_offer_graph(spark, folder)).withColumn("graph", F.lit("offers"))
+    dense = components.cycle_report(Graph(graph.degrees(edges), edges.select("src", "dst")))
+    return found.unionByName(dense.withColumn("graph", F.lit("reviews")))
 
 
 @query

@@ -107,6 +107,7 @@ def add_group_sum(rows: DataFrame, key: str, value: Column, total: str, heavy: C
     if heavy is None:
         return rows.withColumn(total, in_place)
     rows = cut(rows)
+    heavy = F.coalesce(heavy, F.lit(False))  # rows that do not say are summed in place
     sums = rows.where(heavy).groupBy(F.col(key).alias(HEAVY_KEY)).agg(F.sum(value).alias(total))
     crowded = rows.where(heavy).join(F.broadcast(sums), F.col(key) == F.col(HEAVY_KEY)).drop(HEAVY_KEY)
     return rows.where(~heavy).withColumn(total, in_place).unionByName(crowded)

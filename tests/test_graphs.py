@@ -68,10 +68,28 @@ def test_components_of_chains_and_stars(spark, limit):
     assert labels(components.connected_components(g.vertices, g.edges, group_limit=limit)) == expected
 
 
-def test_components_that_do_not_settle_raise(spark):
-    g = make(spark, *SOCIAL)
-    with pytest.raises(RuntimeError):
-        components.connected_components(g.vertices, g.edges, max_rounds=1)
+def test_pairs_with_unknown_ids_stay(spark):
+    found = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, component string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "?"), ("?", "?"), (None, "a")], "src string, dst string")
+    same = {(r.src, r.dst): r.same_component for r in components.same_component(pairs, found).collect()}
+    assert same == {("a", "b"): True, ("a", "c"): False, ("a", "?"): None, ("?", "?"): None, (None, "a"): None}
+
+
+def test_scores_of_unlisted_ids_stay(spark):
+    vertices = spark.createDataFrame([("a",)], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("z", "b")], "src string, dst string")
+    hubs, authorities = hits.hits(vertices, edges, 1)
+    assert {tuple(r) for r in hubs.collect()} == {("a", 1.0), ("z", 1.0)}
+    assert {tuple(r) for r in authorities.collect()} == {("a", 0.0), ("b", 1.0)}
+
+
+def test_long_chain_unravels_in_few_rounds(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    ring = spark.createDataFrame([(n, n + 1), (n + 1, n + 2), (n + 2, n)], "src long, dst long")
+    edges = chain.union(ring)
+    g = graph.Graph(spark.range(n + 3), edges)
+    assert {r.id for r in components.cycle_core(g).collect()} == {n, n + 1, n + 2}
 
 
 def test_cross_edges_and_pairs(spark):
