@@ -15,9 +15,9 @@ tasks. It only sets the order and the choice of k; no pair depends on its accura
 
 Shingles in one prefix only are dropped before any pair is made. In a posting list with
 more than ``CROWD`` members, all members are first held against two leaders; members
-that are verified against the same leader are connected, so pairs among them are not
-made. Everything else in the list is, and each pair that shares enough is verified on
-the full sets. Components of the verified links are the groups.
+that the verified links to leaders connect need no pairs among them, so none are made.
+All other pairs of the list are, and each that shares enough is verified on the full
+sets. Components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: A posting list with more members goes through leaders first.
 CROWD = 32
 #: Lists of numbers up to this length are broadcast (8 bytes each), longer ones are joined.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 #: Shingles per counter of the sketch, and the bounds of its size.
 PER_COUNTER, LEAST_BITS, MOST_BITS = 128, 16, 24
 BLOCKS = 64
@@ -151,7 +151,7 @@ def prefix_lengths(excess: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(keyed: DataFrame, shared: Broadcast, noise: float) -> DataFrame:
-    """``token``, ``cid``, ``n``, ``k``: the prefix of each distinct set (once a task, or oftener)."""
+    """``cid``, ``n``, ``k``, ``tokens``: the prefix of each distinct set (once a task)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen = shared.value, set()
@@ -166,15 +166,12 @@ def _prefixes(keyed: DataFrame, shared: Broadcast, noise: float) -> DataFrame:
             k, length = np.ones(len(rows), np.int64), np.ones(len(rows), np.int64)
             for i, row in enumerate(rows):
                 k[i], length[i] = prefix_lengths(excess[starts[row] : starts[row] + sizes[row]])
-            arrays = [
-                values[ranges(starts[rows], length)].astype(np.int64),
-                np.repeat(names[rows], length),
-                np.repeat(sizes[rows], length),
-                np.repeat(k, length),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["token", "cid", "n", "k"])
+            tokens = pa.array(values[ranges(starts[rows], length)].astype(np.int64), pa.int64())
+            ends = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+            arrays = [*(pa.array(a, pa.int64()) for a in (names[rows], sizes[rows], k)), pa.ListArray.from_arrays(ends, tokens)]
+            yield pa.RecordBatch.from_arrays(arrays, ["cid", "n", "k", "tokens"])
 
-    return keyed.select("text").mapInArrow(emit, "token bigint, cid bigint, n bigint, k bigint")
+    return keyed.select("text").mapInArrow(emit, "cid bigint, n bigint, k bigint, tokens array<bigint>")
 
 
 def _only(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
@@ -187,7 +184,8 @@ def _postings(keyed: DataFrame, total: int) -> DataFrame:
     counters = _frequencies(keyed, total)
     mean = float(counters.mean())
     shared = keyed.sparkSession.sparkContext.broadcast(counters)
-    rows = _prefixes(keyed, shared, mean + 4.0 * np.sqrt(mean) + 1.0)
+    prefixes = stage(_prefixes(keyed, shared, mean + 4.0 * np.sqrt(mean) + 1.0), "prefixes")
+    rows = prefixes.select("cid", "n", "k", F.explode("tokens").alias("token"))
     # a shingle of one class has one name for it: other than count(distinct), this combines on the map side
     spread = rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
     common = stage(spread.where("low < high").select("token"), "tokens")
@@ -247,6 +245,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFra
     return stage(second.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint"), "links")
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    """``cid``, ``component`` of the linked classes."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = connected_components(ends, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.select(F.col("id").alias("cid"), "component")
+
+
 def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between classes that connect all that are similar enough."""
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -260,22 +265,18 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
     star = star.where((F.col("cid") != F.col("l.cid")) & _fits(F.col("n"), F.col("l.n")))
     star = star.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b"), F.least("k", "l.k").alias("k"))
     links = _verified(_enough(star), classes, keyed)
-    sides = links.union(links.select("b", "a"))
-
-    def marked(rows: DataFrame, leader: str, flag: str) -> DataFrame:
-        ends = sides.select(F.col("a").alias("cid"), F.col("b").alias("leader"), F.lit(True).alias("hit"))
-        on = (F.col("r.cid") == ends["cid"]) & (F.col(f"r.{leader}.cid") == ends["leader"])
-        found = rows.alias("r").join(ends, on, "left")
-        own = F.col(f"r.{leader}.cid") == F.col("r.cid")
-        return found.select("r.*", (own | F.coalesce("hit", F.lit(False))).alias(flag))
-
-    known = stage(marked(marked(led, "l1", "m1"), "l2", "m2").drop("l1", "l2", "crowded"), "known")
-    rest = known.where("not m1").select([F.col(c).alias(f"x_{c}") for c in known.columns])
+    # classes that the leaders connect already carry one label, and only other pairs are left to make
+    labels = stage(_groups(links), "labels")
+    own, lead = (labels.select(F.col("cid").alias(f"{c}_cid"), F.col("component").alias(f"{c}_label")) for c in ("own", "lead"))
+    known = led.join(own, F.col("cid") == F.col("own_cid"), "left").join(lead, F.col("l1.cid") == F.col("lead_cid"), "left")
+    label = F.coalesce("own_label", "cid")
+    known = known.select("token", "cid", "n", "k", label.alias("label"), (label == F.coalesce("lead_label", "l1.cid")).alias("leading"))
+    known = stage(known, "known")
+    rest = known.where("not leading").select([F.col(c).alias(f"x_{c}") for c in known.columns])
     pairs = rest.join(known, F.col("x_token") == F.col("token")).where(
-        (F.col("m1") | (F.col("x_cid") < F.col("cid")))
-        & ~(F.col("m2") & F.col("x_m2"))
+        (F.col("label") != F.col("x_label"))
+        & (F.col("leading") | (F.col("x_cid") < F.col("cid")))
         & _fits(F.col("n"), F.col("x_n"))
-        & (F.col("cid") != F.col("x_cid"))
     )
     pairs = pairs.select(F.least("cid", "x_cid").alias("a"), F.greatest("cid", "x_cid").alias("b"), F.least("k", "x_k").alias("k"))
     more = _verified(_enough(pairs).join(links, ["a", "b"], "left_anti"), classes, keyed)
@@ -295,9 +296,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stage(_classes(keyed), "classes")
     named = classes.where("cid is not null")
     links = similar_classes(keyed.select("key", "text"), named, crowd)
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    groups = connected_components(ends, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    groups = stage(groups.select(F.col("id").alias("cid"), "component"), "groups")
+    groups = stage(_groups(links), "groups")
     smallest = named.groupBy("cid").agg(F.min("id").alias("low"))
     of_group = smallest.join(groups, "cid").groupBy("component").agg(F.min("low").alias("low"))
     lows = groups.join(of_group, "component").select("cid", F.col("low").alias("group_low"))
