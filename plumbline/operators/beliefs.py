@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import messages as msg
+from plumbline.operators.graph import heavy_ends
 from plumbline.plans.cutting import cut
 from plumbline.plans.skew import GROUP_LIMIT, add_group_sum, lookup_join
 from plumbline.sources.snapshots import read_snapshot, write_snapshot
@@ -98,10 +99,11 @@ def init_beliefs(
     e = edges.select(
         "edge_id", "src", "dst", "single_user", "u_deg", "single_product", "p_deg", F.col("s").cast("double"), *carry
     )
+    heavy = heavy_ends(edges, limit) if known else {}
     for end, kind, names in (("src", "u", USER_PRIORS), ("dst", "p", PRODUCT_PRIORS)):
         own = [c for c in names if c in known]
         if own:
-            e = lookup_join(e, v.where(F.col("type") == kind).select("id", *own), end, "id", limit=limit)
+            e = lookup_join(e, v.where(F.col("type") == kind).select("id", *own), end, "id", heavy=heavy[end])
     e = e.withColumns(constants).withColumns({c: F.lit(1.0) for c in MESSAGES})
     base = [c for c in e.columns if c not in PRIORS + MESSAGES]
     return v, e.select(*base, *PRIORS, *MESSAGES)

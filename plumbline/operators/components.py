@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
-from plumbline.operators.graph import Graph
+from plumbline.operators.graph import Graph, heavy_ends
 from plumbline.operators.numbering import number_rows
 from plumbline.plans.cutting import cut, stage
-from plumbline.plans.skew import GROUP_LIMIT, heavy_among, heavy_keys, if_any, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, heavy_among, lookup_join
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def label_endpoints(
 ) -> DataFrame:
     """Edges with ``src_component`` and ``dst_component``; with ``how="left"`` null for unknown ids."""
     # both ends are measured on the edges as they came, not on the first join
-    heavy = {end: if_any(cut(heavy_keys(edges, end, group_limit))) for end in ("src", "dst")}
+    heavy = heavy_ends(edges, group_limit)
     for end in ("src", "dst"):
         named = components.select(F.col("id").alias("_member"), F.col("component").alias(f"{end}_component"))
         edges = lookup_join(edges, named, end, "_member", how=how, heavy=heavy[end])

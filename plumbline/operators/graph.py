@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.numbering import number_rows
-from plumbline.plans.cutting import stage
-from plumbline.plans.skew import GROUP_LIMIT, heavy_among, lookup_join
+from plumbline.plans.cutting import cut, stage
+from plumbline.plans.skew import GROUP_LIMIT, heavy_among, heavy_keys, if_any, lookup_join
 
 
 _ENDS = (("src", "u", "u_deg", "single_user"), ("dst", "p", "p_deg", "single_product"))
@@ -140,12 +140,18 @@ def heavy_vertices(vertices: DataFrame, limit: int = GROUP_LIMIT) -> dict[str, D
     }
 
 
+def heavy_ends(edges: DataFrame, limit: int = GROUP_LIMIT) -> dict[str, DataFrame | None]:
+    """Heavy ids at ``src`` and ``dst``, each counted once and kept."""
+    return {end: if_any(cut(heavy_keys(edges, end, limit))) for end in ("src", "dst")}
+
+
 def with_degree_flags(edges: DataFrame, vertices: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Like :func:`with_endpoint_degrees`, but an unknown endpoint counts as degree 1."""
+    heavy = heavy_ends(edges, limit)
     for end, kind, deg, single in _ENDS:
         shared = shared_vertices(vertices, kind).select("id", F.col("deg").alias(deg))
         edges = (
-            lookup_join(edges, shared, end, "id", how="left", limit=limit)
+            lookup_join(edges, shared, end, "id", how="left", heavy=heavy[end])
             .withColumn(single, F.col(deg).isNull())
             .withColumn(deg, F.coalesce(deg, F.lit(1)))
         )

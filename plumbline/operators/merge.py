@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.beliefs import PRIORS
 from plumbline.operators.graph import degrees, with_endpoint_degrees
+from plumbline.plans.cutting import stage
 from plumbline.plans.skew import GROUP_LIMIT
 
 
@@ -50,7 +51,7 @@ def merge_categories(
     one 0/1 column per category; edges get new degrees and singleton flags.
     """
     edges = union_all_by_name(edge_parts)
-    counted = degrees(edges)
+    counted = stage(degrees(edges), "degrees")
     tags = [tag for _, tag in vertex_parts]
     known = (
         _tagged(vertex_parts)

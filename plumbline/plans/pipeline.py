@@ -8,25 +8,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.operators.beliefs import Sampling, init_beliefs, node_beliefs, run_lbp
+from plumbline.operators.beliefs import Sampling, boost_priors, init_beliefs, node_beliefs, run_lbp, unscored_edges
 from plumbline.operators.fusion import fuse_review_labels
-from plumbline.operators.graph import build_graph, with_endpoint_degrees
-from plumbline.operators.scoring import repair_zero_compound, review_score
+from plumbline.operators.graph import build_graph, repeat_reviews, with_endpoint_degrees
+from plumbline.operators.merge import merge_categories
+from plumbline.operators.scoring import rejected_rows, repair_zero_compound, review_score
 from plumbline.operators.sentiment import lexicon_sentiment
+from plumbline.plans.cutting import stage, staging
 from plumbline.sources.readers import read_products, read_reviews, read_table
 from plumbline.sources.snapshots import read_snapshot
 from plumbline.sources.writers import stage_path, write_table
 
+TEXTS = ("summary", "review_text")
+
 
 def add_sentiment(
     edges: DataFrame, lexicon: DataFrame, repair: bool = False, **score_options
 ) -> DataFrame:
     """Edges with neg, neu, pos, compound, pos_or_neg and ``s`` from their ``review_text``.
 
-    ``repair`` replaces zero compounds first.
+    ``repair`` replaces zero compounds first. Nothing after this needs the texts, so
+    they are left out and never shuffled for it.
     """
     moods = lexicon_sentiment(edges, "edge_id", "review_text", lexicon)
-    scored = edges.join(moods, "edge_id")
+    scored = edges.drop(*TEXTS).join(moods, "edge_id")
     if repair:
         scored = repair_zero_compound(scored)
     return review_score(scored, **score_options)
@@ -34,33 +39,67 @@ def add_sentiment(
 
 def prepare(
     spark: SparkSession, reviews_path: str, products_path: str, base: str, edge_label: str, lexicon: DataFrame,
-    repair: bool = False, **score_options,
+    repair: bool = False, boost: bool = False, carry: tuple[str, ...] = (), **score_options,
 ) -> None:
-    """From review and product JSON to belief tables, every stage written under ``base``."""
-    graph = build_graph(read_reviews(spark, reviews_path), read_products(spark, products_path), edge_label)
-    write_table(graph.vertices, stage_path(base, "vertices"))
-    write_table(graph.edges, stage_path(base, "edges"))
+    """From review and product JSON to belief tables, every stage written under ``base``.
+
+    ``boost`` raises priors where a user reviewed a product more than once at one time.
+    ``carry`` names edge columns that the labels shall have too. The table of rejects
+    counts unusable ratings and votes, and edges without a score.
+    """
+    with staging(spark):
+        reviews = read_reviews(spark, reviews_path)
+        graph = build_graph(reviews, read_products(spark, products_path), edge_label)
+        write_table(graph.vertices, stage_path(base, "vertices"))
+        write_table(graph.edges, stage_path(base, "edges"))
 
-    edges = read_table(spark, stage_path(base, "edges"), graph.edges.schema)
-    write_table(add_sentiment(edges, lexicon, repair, **score_options), stage_path(base, "sentiment"))
+        edges = read_table(spark, stage_path(base, "edges"), graph.edges.schema)
+        write_table(add_sentiment(edges, lexicon, repair, **score_options), stage_path(base, "sentiment"))
 
-    vertices = read_table(spark, stage_path(base, "vertices"), graph.vertices.schema)
-    scored = read_table(spark, stage_path(base, "sentiment"))
-    write_table(with_endpoint_degrees(scored, vertices), stage_path(base, "degrees"))
+        vertices = read_table(spark, stage_path(base, "vertices"), graph.vertices.schema)
+        scored = read_table(spark, stage_path(base, "sentiment"))
+        write_table(with_endpoint_degrees(scored, vertices), stage_path(base, "degrees"))
 
-    belief_vertices, belief_edges = init_beliefs(vertices, read_table(spark, stage_path(base, "degrees")))
-    write_table(belief_vertices, stage_path(base, "belief_vertices"))
-    write_table(belief_edges, stage_path(base, "belief_edges"))
+        enriched = read_table(spark, stage_path(base, "degrees"))
+        belief_vertices, belief_edges = init_beliefs(vertices, enriched, carry=carry)
+        if boost:
+            belief_vertices, belief_edges = boost_priors(belief_vertices, belief_edges, stage(repeat_reviews(enriched), "repeats"))
+        write_table(belief_vertices, stage_path(base, "belief_vertices"))
+        write_table(belief_edges, stage_path(base, "belief_edges"))
+        rejects = rejected_rows(edges).crossJoin(unscored_edges(enriched))  # one row each
+        write_table(rejects, stage_path(base, "rejects"))
+
+
+def merge(spark: SparkSession, parts: list[tuple[str, str]], base: str) -> None:
+    """The belief tables of several prepared categories as one graph under ``base``.
+
+    ``parts`` lists (base, tag) of each category. The merged edges are written clustered
+    by user, where the first half-step of belief propagation needs them.
+    """
+    with staging(spark):
+        vertex_parts = [(read_table(spark, stage_path(b, "belief_vertices")), tag) for b, tag in parts]
+        edge_parts = [read_table(spark, stage_path(b, "belief_edges")) for b, _ in parts]
+        vertices, edges = merge_categories(vertex_parts, edge_parts)
+        write_table(vertices, stage_path(base, "belief_vertices"))
+        write_table(edges, stage_path(base, "belief_edges"), cluster_by=("src", "edge_id"))
 
 
 def infer(
     spark: SparkSession, base: str, iterations: int, start: int = 1, snapshot_dir: str | None = None,
-    sampling: Sampling | None = None, sign_mag_effect: bool = True,
+    sampling: Sampling | None = None, sign_mag_effect: bool = True, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Propagate beliefs over the tables under ``base``, write beliefs and labels, return the labels.
 
-    With ``start`` above 1 the edges come from snapshot ``start - 1``.
+    With ``start`` above 1 the edges come from snapshot ``start - 1``. ``carry`` names
+    columns of the belief edges that the labels keep. Whatever is staged on the way is
+    removed.
     """
+    with staging(spark):
+        _infer(spark, base, iterations, start, snapshot_dir, sampling, sign_mag_effect, carry)
+    return read_table(spark, stage_path(base, "labels"))
+
+
+def _infer(spark, base, iterations, start, snapshot_dir, sampling, sign_mag_effect, carry) -> None:
     vertices = read_table(spark, stage_path(base, "belief_vertices"))
     edges = read_table(spark, stage_path(base, "belief_edges"))
     if start > 1:
@@ -70,5 +109,4 @@ def infer(
     settled = run_lbp(edges, iterations, start, sign_mag_effect, sampling, snapshot_dir)
     write_table(node_beliefs(vertices, settled, sampling), stage_path(base, "beliefs"))
     beliefs = read_table(spark, stage_path(base, "beliefs"))
-    write_table(fuse_review_labels(beliefs, settled), stage_path(base, "labels"))
-    return read_table(spark, stage_path(base, "labels"))
+    write_table(fuse_review_labels(beliefs, settled, carry), stage_path(base, "labels"))

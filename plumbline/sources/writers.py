@@ -14,6 +14,7 @@ STAGES = {
     "belief_edges": "_EdgesLBP",
     "beliefs": "_Beliefs",
     "labels": "_Labels",
+    "rejects": "_Rejects",
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.messages import NEGATIVE, POSITIVE
 from plumbline.operators import beliefs, graph, reports
+from plumbline.plans import skew
 from plumbline.sources.snapshots import last_iteration, read_snapshot, read_snapshots
 
 
@@ -177,3 +178,9 @@ def test_constants_and_maximum(spark):
     assert [r.share for r in beliefs.max_normalise(df, [("deg", "share")]).orderBy("id").collect()] == [0.5, 1.0]
     zero = df.withColumn("deg", F.lit(0))
     assert beliefs.max_normalise(zero, [("deg", "share")]).first().share is None
+
+
+def test_rows_without_a_heavy_flag_stay(spark):
+    rows = spark.createDataFrame([("a", True, 1.0), ("a", True, 2.0), ("b", None, 4.0), ("c", False, 8.0)], "k string, heavy boolean, x double")
+    summed = skew.add_group_sum(rows, "k", F.col("x"), "total", F.col("heavy"))
+    assert sorted((r.k, r.total) for r in summed.collect()) == [("a", 3.0), ("a", 3.0), ("b", 4.0), ("c", 8.0)]

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.errors import AnalysisException
 
-from plumbline.operators import fusion, graph, reports
+from plumbline.operators import beliefs, fusion, graph, reports
 from plumbline.plans import cutting, pipeline
 from plumbline.sources import readers, writers
 
@@ -53,6 +53,65 @@ def test_whole_chain_on_files(spark, files, folder):
         pipeline.infer(spark, base, 1, start=3)
 
 
+LEXICON = [("good", 1.9), ("good", 2.5), ("great", 3.1), ("horrible", -2.5)]
+
+
+def prepared(spark, files, base, label, **options):
+    lexicon = spark.createDataFrame(LEXICON, "token string, valence double")
+    pipeline.prepare(spark, str(files / "reviews.json"), str(files / "meta.json"), base, label, lexicon, **options)
+
+
+def test_narrow_tables_carried_columns_and_no_left_overs(spark, files, folder):
+    base = folder + "/toys"
+    before = set(Path(cutting.checkpoint_root(spark).removeprefix("file:")).glob("*-*"))
+    prepared(spark, files, base, "T", boost=True, carry=("overall", "verified"))
+    for name in ("sentiment", "degrees", "belief_edges"):
+        assert not set(pipeline.TEXTS) & set(readers.read_table(spark, writers.stage_path(base, name)).columns)
+    rejects = readers.read_table(spark, writers.stage_path(base, "rejects")).first()
+    assert (rejects.reviews, rejects.bad_rating, rejects.bad_vote, rejects.null_score) == (120, 0, 0, 0)
+
+    labels = pipeline.infer(spark, base, 3, snapshot_dir=folder + "/rounds", carry=("overall",))
+    assert labels.where("overall is not null").count() == 120
+    masses = labels.selectExpr("abs(fake + genuine + uncertainty - 1) AS off")
+    assert masses.where("off > 2e-4").count() == 0
+    left = {p for p in set(Path(cutting.checkpoint_root(spark).removeprefix("file:")).glob("*-*")) - before if list(p.glob("*.parquet"))}
+    assert not left
+
+
+def test_resumed_run_gives_the_same_labels(spark, files, folder):
+    bases = [folder + "/one", folder + "/two"]
+    for base in bases:
+        prepared(spark, files, base, "G")
+    whole = pipeline.infer(spark, bases[0], 3, snapshot_dir=folder + "/a")
+    edges = readers.read_table(spark, writers.stage_path(bases[1], "belief_edges"))
+    beliefs.run_lbp(edges, 2, snapshot_dir=folder + "/b")
+    resumed = pipeline.infer(spark, bases[1], 1, start=3, snapshot_dir=folder + "/b")
+    rows = lambda df: sorted((r.edge_id, r.label, round(r.fake, 9)) for r in df.collect())
+    assert rows(whole) == rows(resumed)
+
+
+def test_merged_categories_can_be_labelled(spark, files, folder):
+    parts = [(folder + "/games", "G"), (folder + "/toys", "T")]
+    for base, tag in parts:
+        prepared(spark, files, base, tag)
+    merged = folder + "/all"
+    pipeline.merge(spark, parts, merged)
+    vertices = readers.read_table(spark, writers.stage_path(merged, "belief_vertices"))
+    assert {(r.G, r.T) for r in vertices.collect()} == {(1, 1)}
+    assert vertices.groupBy("type").sum("deg").select("sum(deg)").distinct().collect()[0][0] == 240
+    assert pipeline.infer(spark, merged, 1).count() == 240
+
+
+def test_texts_are_not_shuffled_after_the_sentiment(spark, files, folder):
+    base = folder + "/plan"
+    prepared(spark, files, base, "G")
+    edges = readers.read_table(spark, writers.stage_path(base, "edges"))
+    lexicon = spark.createDataFrame(LEXICON, "token string, valence double")
+    plan = pipeline.add_sentiment(edges, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and "review_text" not in plan.splitlines()[0] + "".join(joins)
+
+
 def test_tables_are_not_overwritten_unasked(spark, folder):
     df = spark.range(10).withColumnRenamed("id", "k")
     path = folder + "/t"

@@ -160,3 +160,25 @@ def test_labels_with_heavy_vertices(spark):
     nodes = beliefs.node_beliefs(v, settled)
     few, many = (sorted(map(str, fusion.fuse_review_labels(nodes, settled, limit=n).collect())) for n in (5, 1000))
     assert few == many and len(few) == 60
+
+
+def test_a_token_listed_twice_counts_once(spark):
+    texts = spark.createDataFrame([(1, "a good day")], "id int, body string")
+    once = spark.createDataFrame([("good", 1.9)], "token string, valence double")
+    twice = once.union(once).union(spark.createDataFrame([("good", 2.5)], once.schema))
+    found = [lexicon_sentiment(texts, "id", "body", lexicon).first() for lexicon in (once, twice)]
+    assert found[0] == found[1] and found[0].compound == 0.4404
+
+
+def test_unanswered_messages_say_nothing_for_either_side(spark):
+    vertices = spark.createDataFrame(
+        [("u", "u", None, None, None, None), ("p", "p", None, None, 0.3, 0.7)],
+        "id string, type string, p_fraud double, p_honest double, p_bad double, p_good double",
+    ).withColumn("deg", F.lit(1).cast("bigint"))
+    edges = spark.createDataFrame(
+        [("e", "u", "p", 1, 9, 0.0, 1.0, 1.0, 0.4, 0.6)],
+        "edge_id string, src string, dst string, u_deg long, p_deg long, s double, mu_fraud double, mu_honest double, mp_bad double, mp_good double",
+    )
+    row = fusion.fuse_review_labels(vertices, edges).first()
+    assert (row.fraudster, row.honest) == (0.5, 0.5)
+    assert row.fake + row.genuine + row.uncertainty == pytest.approx(1.0)
