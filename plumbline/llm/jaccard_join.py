@@ -258,6 +258,8 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
     postings = _postings(keyed, total)
     member = lambda salt: F.min(F.struct(F.xxhash64("cid", F.lit(salt)).alias("h"), "cid", "n", "k"))
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"), member(1).alias("l1"), member(2).alias("l2"))
+    # staged, here and below: two tables meet in exchanges of their own, which Spark splits where a key is hot
+    lists = stage(lists, "lists")
     led = stage(postings.join(lists, "token").select(
         "token", "cid", "n", "k", (F.col("members") > crowd).alias("crowded"), "l1", "l2"
     ), "led")
@@ -300,7 +302,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = named.groupBy("cid").agg(F.min("id").alias("low"))
     of_group = smallest.join(groups, "cid").groupBy("component").agg(F.min("low").alias("low"))
     lows = groups.join(of_group, "component").select("cid", F.col("low").alias("group_low"))
-    names = smallest.join(lows, "cid", "left").select("cid", F.coalesce("group_low", "low").alias("component_id"))
+    names = stage(smallest.join(lows, "cid", "left").select("cid", F.coalesce("group_low", "low").alias("component_id")), "names")
     out = named.join(names, "cid").select(F.col("id").alias("doc_id"), "key", F.col("n").alias("n_shingles"), "component_id")
     alone = classes.where("cid is null").select(F.col("id").alias("doc_id"), "key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionByName(alone)

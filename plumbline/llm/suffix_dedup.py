@@ -233,7 +233,9 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
 
     found = stage(keyed.mapInArrow(cut, f"id {kind}, key bigint, core bigint, name binary, low bigint, high bigint"), "stretches")
     shared = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("a"), F.max("name").alias("b")).where("n > 1")
-    members = stage(found.join(shared.select("core", (F.col("a") < F.col("b")).alias("differ")), "core"), "members")
+    # staged: two tables meet in exchanges of their own, which Spark splits where a core is hot
+    shared = stage(shared.select("core", (F.col("a") < F.col("b")).alias("differ")), "cores")
+    members = stage(found.join(shared, "core"), "members")
     place = F.struct("id", "key", "low", "high")
     stretch = stage(members.groupBy("core", "name", "differ").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")), "names")
     differing = stretch.where("differ")
@@ -241,7 +243,8 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
     copies = _with_bytes(differing.join(crowded, "core", "left"), keyed, length)
     runs = _ordered(copies.where("crowded is null"), length, keep_first).unionByName(_by_hash(copies.where("crowded"), length, keep_first))
     verdict = stretch.join(runs, ["core", "name"], "left").where("copies > 1 or runs is not null")
-    joined = members.join(verdict.select("core", "name", "copies", "first", "runs"), ["core", "name"])
+    verdict = stage(verdict.select("core", "name", "copies", "first", "runs"), "verdict")
+    joined = members.join(verdict, ["core", "name"])
     whole = F.col("copies") > 1
     if keep_first:
         whole = whole & (F.struct("id", "key", "low", "high") != F.col("first"))
