@@ -155,6 +155,8 @@ def run_lbp(
 ) -> DataFrame:
     """Belief edges after ``iterations`` rounds, numbered from ``start``.
 
+    ``edges`` is read up to three times, so it should be a table rather than a long plan.
+
     With ``snapshot_dir`` every round is written there (one ``iteration=N`` folder
     each) and the next one starts from the written table. To resume, pass the edges
     of the last snapshot and the next number as ``start``.
@@ -166,7 +168,7 @@ def run_lbp(
     if iterations < 1:
         return edges
     columns = edges.columns
-    state = cut(_compact(edges))
+    state = _compact(edges)
     facts = state.agg(
         F.max("u_deg").alias("u_deg"),
         F.max("p_deg").alias("p_deg"),

@@ -66,6 +66,11 @@ def _belief_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return beliefs.init_beliefs(graph.degrees(scored), scored)
 
 
+def sparse_belief_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Belief edges of one-off accounts and offers, as a table."""
+    return stage(_belief_graph(_offers(spark, folder))[1], "sparse")
+
+
 def _lbp(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     vertices, start = _belief_graph(edges)
     return vertices, beliefs.run_lbp(start, ITERATIONS)
@@ -192,6 +197,14 @@ def lexicon_sentiment_documents(spark, folder):
     return _document_sentiment(spark, folder)
 
 
+@query
+def review_score_of_text(spark, folder):
+    """From text to score: the sentiment of each review's document instead of the stand-in."""
+    moods = _document_sentiment(spark, folder).select("doc_id", "compound")
+    scored = scoring.review_score(_reviews(spark, folder).drop("compound").join(moods, "doc_id"))
+    return scored.select("src", "dst", "unix_review_time", "vote", *even("s"))
+
+
 @query
 def repair_zero_compound(spark, folder):
     """Document sentiment as review sentiment: weak compounds count as 0, the weakest as wordless."""
@@ -377,6 +390,16 @@ def belief_histogram(spark, folder):
     return reports.belief_histogram(beliefs.node_beliefs(vertices, settled).join(category, "id"), "p_bad")
 
 
+@query
+def fraud_histogram(spark, folder):
+    """P(fraud) per part type, a user counting in every type it reviewed."""
+    edges = _offers(spark, folder)
+    vertices, settled = _lbp(edges)
+    kinds = edges.groupBy(F.col("src").alias("id")).agg(F.collect_set("category").alias("categories"))
+    believed = beliefs.node_beliefs(vertices, settled).join(kinds, "id")
+    return reports.belief_histogram(believed.withColumn("category", F.explode("categories")), "p_fraud")
+
+
 @query
 def node_class_counts(spark, folder):
     return reports.node_class_counts(beliefs.node_beliefs(*_lbp(_offers(spark, folder))))
