@@ -30,7 +30,7 @@ SCALE = 30.0  # relative frequencies are small; this brings logits to a usual si
 SLICE = 1_000_000
 UNKNOWN = "und"
 #: A document whose best language is less likely than this is rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
