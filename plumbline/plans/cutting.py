@@ -20,7 +20,8 @@ _scopes: list[list[str]] = []
 def staging(spark: SparkSession) -> Iterator[None]:
     """Owns what is staged inside: those tables are removed at the end.
 
-    Results must be written before that. Tables staged outside of any such scope stay,
+    Results must be written before that, or staged with ``outer=True``, which hands them
+    to the scope around this one, if there is any. Tables staged outside of any such scope stay,
     for lazy results may still read them; checkpoints are removed by Spark's cleaner if
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
@@ -53,21 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the checkpoint folder."""
+def scratch_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new path under the checkpoint folder, owned by the current scope or by the one around it."""
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    owners = _scopes[:-1] if outer else _scopes
+    if owners:
+        owners[-1].append(path)
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write ``df`` as parquet in the checkpoint folder and continue from the table.
 
     Preferred over :func:`cut` for wide rows read several times, since each later
     reader only fetches the columns it needs.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
