@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.llm.common import flat_bytes, fresh, ranges, slices, text_key, texts_of
 from plumbline.llm.decontamination import Words
 from plumbline.operators.components import connected_components
-from plumbline.plans.cutting import stage
+from plumbline.plans.cutting import stage, staging
 
 WORDS = 5
 #: Similarity of linked documents, as a fraction.
@@ -297,8 +297,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select(F.col(doc_id).alias("id"), text_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     classes = stage(_classes(keyed), "classes")
     named = classes.where("cid is not null")
-    links = similar_classes(keyed.select("key", "text"), named, crowd)
-    groups = stage(_groups(links), "groups")
+    with staging(docs.sparkSession):
+        links = similar_classes(keyed.select("key", "text"), named, crowd)
+        groups = stage(_groups(links), "groups", outer=True)
     smallest = named.groupBy("cid").agg(F.min("id").alias("low"))
     of_group = smallest.join(groups, "cid").groupBy("component").agg(F.min("low").alias("low"))
     lows = groups.join(of_group, "component").select("cid", F.col("low").alias("group_low"))

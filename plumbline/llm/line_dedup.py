@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.common import text_key
-from plumbline.plans.cutting import stage
+from plumbline.plans.cutting import stage, staging
 
 #: What the plain form maps to lower case and to spaces.
 UPPER, LOWER, SPACES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\t\n\x0b\f\r"
@@ -132,9 +132,11 @@ def _one_edit(near: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``key``, ``kept``: the numbers of the lines that stay, by document."""
-    distinct = stage(distinct_lines(docs, doc_id, text), "lines")
-    stays = distinct.join(near_lines(distinct, docs, doc_id, text), "line", "left_anti")
-    return stays.groupBy(F.col("at.doc_id").alias("k_id"), F.col("at.key").alias("k_key")).agg(F.collect_list("at.no").alias("kept"))
+    with staging(docs.sparkSession):
+        distinct = stage(distinct_lines(docs, doc_id, text), "lines")
+        stays = distinct.join(near_lines(distinct, docs, doc_id, text), "line", "left_anti")
+        kept = stays.groupBy(F.col("at.doc_id").alias("k_id"), F.col("at.key").alias("k_key")).agg(F.collect_list("at.no").alias("kept"))
+        return stage(kept, "kept", outer=True)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.common import slices, text_key, texts_of
-from plumbline.plans.cutting import stage
+from plumbline.plans.cutting import stage, staging
 
 LENGTH = 400
 GRAM = 32
@@ -282,7 +282,8 @@ def _merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
 
 def _marked(docs: DataFrame, doc_id: str, text: str, options: dict) -> DataFrame:
     keyed = docs.select(F.col(doc_id).alias("id"), text_key(F.col(doc_id), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = repeated_ranges(keyed, **options).withColumnsRenamed({"id": "r_id", "key": "r_key"})
+    with staging(docs.sparkSession):
+        found = stage(repeated_ranges(keyed, **options), "ranges", outer=True).withColumnsRenamed({"id": "r_id", "key": "r_key"})
     same = (F.col("key") == F.col("r_key")) & F.col("id").eqNullSafe(F.col("r_id"))
     return keyed.join(found, same, "left").select("id", "text", "ranges")
 
