@@ -16,8 +16,8 @@ tasks. It only sets the order and the choice of k; no pair depends on its accura
 Shingles in one prefix only are dropped before any pair is made. In a posting list with
 more than ``CROWD`` members, all members are first held against two leaders; members
 that the verified links to leaders connect need no pairs among them, so none are made.
-All other pairs of the list are, and each that shares enough is verified on the full
-sets. Components of the verified links are the groups.
+All other pairs of the list are counted, in memory by class, and each that shares enough
+is verified on the full sets. Components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: A posting list with more members goes through leaders first.
 CROWD = 32
+#: Members of a posting list that are packed into one row.
+PART = 1000
 #: Lists of numbers up to this length are broadcast (8 bytes each), longer ones are joined.
 BROADCAST_ROWS = 2_000_000
 #: Shingles per counter of the sketch, and the bounds of its size.
@@ -274,17 +276,55 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
     label = F.coalesce("own_label", "cid")
     known = known.select("token", "cid", "n", "k", label.alias("label"), (label == F.coalesce("lead_label", "l1.cid")).alias("leading"))
     known = stage(known, "known")
-    rest = known.where("not leading").select([F.col(c).alias(f"x_{c}") for c in known.columns])
-    pairs = rest.join(known, F.col("x_token") == F.col("token")).where(
-        (F.col("label") != F.col("x_label"))
-        & (F.col("leading") | (F.col("x_cid") < F.col("cid")))
-        & _fits(F.col("n"), F.col("x_n"))
-    )
-    pairs = pairs.select(F.least("cid", "x_cid").alias("a"), F.greatest("cid", "x_cid").alias("b"), F.least("k", "x_k").alias("k"))
-    more = _verified(_enough(pairs).join(links, ["a", "b"], "left_anti"), classes, keyed)
+    more = _verified(_partners(known).join(links, ["a", "b"], "left_anti"), classes, keyed)
     return links.union(more)
 
 
+def _partners(known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels that share enough prefix shingles, one of them not leading in a list.
+
+    A class that is not connected with a list's leader meets the list packed, in parts of
+    about ``PART`` members by a hash of the member, so that its lists are counted together
+    in memory and a pair becomes a row only once it shares enough.
+    """
+    rest = known.where("not leading").select("token", F.col("cid").alias("x"), F.col("k").alias("x_k"))
+    longest = known.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+    part = F.pmod(F.xxhash64("cid", F.lit("part")), F.lit(-(-longest // PART) or 1))
+    active = known.join(rest.select("token").distinct(), "token", "left_semi")
+    packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("cid", "k"))).alias("members"))
+    packed = stage(packed.select("token", "part", F.col("members.cid").alias("cids"), F.col("members.k").alias("ks")), "packed")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        key: tuple | None = None
+
+        def flush() -> pa.RecordBatch:
+            x, x_k, _ = key
+            cids, ks = (np.concatenate(arrays) for arrays in zip(*held))
+            found, first, met = np.unique(cids, return_index=True, return_counts=True)
+            found = found[(met >= np.minimum(ks[first], x_k)) & (found != x)]
+            arrays = [np.minimum(found, x), np.maximum(found, x)]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["a", "b"])
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "x_k", "part")))
+            for i, row in enumerate(rows):
+                if row != key:
+                    if held:
+                        yield flush()
+                    held, key = [], row
+                held.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cids", "ks")))
+        if held:
+            yield flush()
+
+    met = rest.join(packed, "token").select("x", "x_k", "part", "cids", "ks")
+    met = met.repartition("x", "part").sortWithinPartitions("x", "part").mapInArrow(count, "a bigint, b bigint").distinct()
+    facts = known.select("cid", "n", "label").distinct()
+    for end in ("a", "b"):
+        met = met.join(facts.toDF(end, f"{end}_n", f"{end}_label"), end)
+    return met.where((F.col("a_label") != F.col("b_label")) & _fits(F.col("a_n"), F.col("b_n"))).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``key`` (of id and text), ``n_shingles`` and ``component_id`` of every row.
 
