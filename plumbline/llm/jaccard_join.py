@@ -281,44 +281,65 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
 
 
 def _partners(known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels that share enough prefix shingles, one of them not leading in a list.
+    """Pairs (a, b) of different labels that share enough prefix shingles.
 
     A class that is not connected with a list's leader meets the list packed, in parts of
     about ``PART`` members by a hash of the member, so that its lists are counted together
-    in memory and a pair becomes a row only once it shares enough.
+    in memory. Of the lists a pair shares, either class sees those in which it is not
+    leading itself. The class with the smaller id counts all that it sees, the other one
+    those that only it sees, and the two counts are added. A count becomes a row only if
+    the pair can reach the smaller k: the lists a class does not see are at most those
+    that it leads, and at most those its partner meets as not leading.
     """
-    rest = known.where("not leading").select("token", F.col("cid").alias("x"), F.col("k").alias("x_k"))
-    longest = known.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+    most = int(CHOICES[-1])
+    open_lists = known.where("not leading").select("token").distinct()
+    active = known.join(open_lists, "token", "left_semi").select("token", "cid", "k", "leading")
+    active = stage(active, "active")
+    counts = active.groupBy("cid").agg(F.count_if("leading").alias("led"), F.count_if(~F.col("leading")).alias("unled"))
+    # in one number: k, whether the class leads here, and (as far as it matters) how many lists it does not lead
+    k, seen = F.least("k", F.lit(most)), F.least("unled", F.lit(most))
+    info = (k + 64 * F.col("leading").cast("int") + 128 * seen).cast("smallint")
+    active = active.join(counts, "cid").select("token", "cid", "k", "leading", "led", info.alias("info"))
+    active = stage(active, "counted")
+    rest = active.where("not leading").select("token", F.col("cid").alias("x"), F.col("k").alias("x_k"), F.col("led").alias("x_led"))
+    longest = active.groupBy("token").count().agg(F.max("count")).first()[0] or 0
     part = F.pmod(F.xxhash64("cid", F.lit("part")), F.lit(-(-longest // PART) or 1))
-    active = known.join(rest.select("token").distinct(), "token", "left_semi")
-    packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("cid", "k"))).alias("members"))
-    packed = stage(packed.select("token", "part", F.col("members.cid").alias("cids"), F.col("members.k").alias("ks")), "packed")
+    packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("cid", "info"))).alias("members"))
+    packed = stage(packed.select("token", "part", F.col("members.cid").alias("cids"), F.col("members.info").alias("infos")), "packed")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         key: tuple | None = None
 
         def flush() -> pa.RecordBatch:
-            x, x_k, _ = key
-            cids, ks = (np.concatenate(arrays) for arrays in zip(*held))
-            found, first, met = np.unique(cids, return_index=True, return_counts=True)
-            found = found[(met >= np.minimum(ks[first], x_k)) & (found != x)]
-            arrays = [np.minimum(found, x), np.maximum(found, x)]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["a", "b"])
+            x, x_k, x_led, _ = key
+            cids, infos = (np.concatenate(arrays) for arrays in zip(*held))
+            found, first, at = np.unique(cids, return_index=True, return_inverse=True)
+            info = infos[first].astype(np.int64)
+            met = np.bincount(at, minlength=len(found))
+            only = np.bincount(at[(infos >> 6) & 1 == 1], minlength=len(found))
+            least = np.minimum(info & 63, x_k)
+            unseen = np.minimum(x_led, (info >> 7) - (met - only))
+            own = np.where(x < found, met, only)
+            keep = (met + unseen >= least) & (own > 0) & (found != x)
+            found, own, least = found[keep], own[keep], least[keep]
+            arrays = [np.minimum(found, x), np.maximum(found, x), own, least]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["a", "b", "met", "k"])
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "x_k", "part")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "x_k", "x_led", "part")))
             for i, row in enumerate(rows):
                 if row != key:
                     if held:
                         yield flush()
                     held, key = [], row
-                held.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cids", "ks")))
+                held.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cids", "infos")))
         if held:
             yield flush()
 
-    met = rest.join(packed, "token").select("x", "x_k", "part", "cids", "ks")
-    met = met.repartition("x", "part").sortWithinPartitions("x", "part").mapInArrow(count, "a bigint, b bigint").distinct()
+    met = rest.join(packed, "token").select("x", "x_k", "x_led", "part", "cids", "infos")
+    met = met.repartition("x", "part").sortWithinPartitions("x", "part").mapInArrow(count, "a bigint, b bigint, met bigint, k bigint")
+    met = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("k").alias("k")).where("met >= k").select("a", "b")
     facts = known.select("cid", "n", "label").distinct()
     for end in ("a", "b"):
         met = met.join(facts.toDF(end, f"{end}_n", f"{end}_label"), end)

@@ -99,6 +99,34 @@ def test_groups_as_by_brute_force(spark, odd, crowd):
     assert sorted(map(tuple, got), key=repr) == brute_groups(rows)
 
 
+def brute_partners(known):
+    lists = {}
+    for token, cid, n, k, label, leading in known:
+        lists.setdefault(cid, (n, k, label, set()))[3].add(token)
+    out = set()
+    for a, b in itertools.combinations(sorted(lists), 2):
+        (na, ka, la, ta), (nb, kb, lb, tb) = lists[a], lists[b]
+        if la != lb and len(ta & tb) >= min(ka, kb) and 4 * min(na, nb) >= 3 * max(na, nb):
+            out.add((a, b))
+    return out
+
+
+def test_partners_share_lists_of_either_leader(spark):
+    schema = "token long, cid long, n long, k long, label long, leading boolean"
+    # two crowded labels; 7 and 107 share two lists led by the one and two led by the other
+    rows = [(t, c, 90, 4, label, label == lead) for lead, tokens in ((1, (1, 2)), (101, (3, 4))) for t in tokens
+            for c, label in [(lead + i, lead) for i in range(40)] + [(107 if lead == 1 else 7, 102 - lead)]]
+    assert {tuple(r) for r in jaccard_join._partners(spark.createDataFrame(rows, schema)).collect()} == brute_partners(rows) == {(7, 107)}
+    rng = random.Random(3)
+    facts = {c: (rng.randrange(70, 100), rng.choice([1, 2, 4, 6, 32]), rng.choice([1, 2, 3, c])) for c in range(1, 90)}
+    rows = []
+    for token in range(120):
+        lead = rng.choice([1, 2, 3, rng.randrange(4, 90)])
+        rows += [(token, c, *facts[c], facts[c][2] == facts[lead][2]) for c in {lead, *rng.sample(sorted(facts), rng.randrange(1, 40))}]
+    want = brute_partners(rows)
+    assert {tuple(r) for r in jaccard_join._partners(spark.createDataFrame(rows, schema)).collect()} == want and len(want) > 100
+
+
 def test_first_of_each_group_stays(spark, odd, nothing):
     kept = jaccard_join.keep_first_of_groups(odd)
     assert kept.columns == odd.columns
