@@ -3,10 +3,11 @@
 The standard library's parser streams events; a page becomes a list of lines (the text
 between two block boundaries), each with the characters and tags it had. The ratio of
 the two is smoothed with a Gaussian over neighbouring lines, and a two-means threshold
-splits lines into content and the rest. Content lines vote for the region of the page
-they lie in (an article or main element if the page marks one, else the deepest element
-that holds nearly all of them). All lines of the region are the text, but for elements
-that are boilerplate by name, role or class.
+splits lines into content and the rest. The region is the articles of the page if it
+marks some, with the main element around them if that has content of its own, else the
+deepest container that holds all content lines. All lines of the region are the text, but
+for elements that are boilerplate by name or role, those that a class or id marks and
+that also look like it (links, or no line of prose), and blocks of links.
 """
 
 from __future__ import annotations
@@ -22,8 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm.common import slices, texts_of
 
 SIGMA = 1.5
-#: Share of the content characters that a region must hold if none is marked.
-REGION_SHARE = 0.9
+#: Elements that can be the region of a page that marks none.
+CONTAINERS = frozenset("html body div section td center article main".split())
+#: Elements whose lines are judged together if they are links; such lines outside of a list are judged by container.
+BLOCKS = CONTAINERS | frozenset("ul ol dl table".split())
+#: Share of link text from which a line, and from which an element, counts as links.
+LINK_LINE, LINK_ELEMENT = 0.8, 0.5
+#: A marked element without a line of so many characters beside its links is boilerplate.
+PROSE = 80
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -39,10 +46,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of a class or id (split at anything but letters and at capitals) that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar header masthead footer comment comments disqus cookie cookies consent gdpr notice "
+    "breadcrumb breadcrumbs sidebar header masthead footer cookie cookies consent gdpr notice "
     "notices banner popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended widget pagination pager".split()
 )
+#: Readers' comments are prose and never article text.
+COMMENTS = frozenset("comment comments disqus".split())
 #: "has-sidebar" is no sidebar.
 NOT_ITSELF = frozenset("has with without no".split())
 MAIN = frozenset(("article", "main"))
@@ -64,10 +73,15 @@ def _is_boilerplate(tag: str, attributes: dict[str, str | None]) -> bool:
         return True
     if _HIDDEN.search(attributes.get("style") or ""):
         return True
+    return _named(COMMENTS, tag, attributes)
+
+
+def _named(marks: frozenset[str], tag: str, attributes: dict[str, str | None]) -> bool:
+    """Whether the class or id has one of the words."""
     if tag in ("body", "html", "main"):
         return False
     words = [w.lower() for w in _WORDS.findall(f"{attributes.get('class') or ''} {attributes.get('id') or ''}")]
-    return any(w in MARKS and before not in NOT_ITSELF for before, w in zip(["", *words], words))
+    return any(w in marks and before not in NOT_ITSELF for before, w in zip(["", *words], words))
 
 
 class _Lines(HTMLParser):
@@ -76,7 +90,9 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.kinds: dict[int, str] = {}  # tags of the elements on paths
         self.marked: dict[int, str] = {}  # article and main elements by number
+        self.suspect: set[int] = set()  # elements that a class or id marks
         self._stack: list[tuple[str, int, bool]] = []  # tag, number, boilerplate here or above
         self._next = 0
         self._parts: list[str] = []
@@ -86,14 +102,17 @@ class _Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self._parts)).strip()
         if text:
             bad = bool(self._stack) and self._stack[-1][2]
-            path = tuple(n for tag, n, _ in self._stack if tag not in INLINE)
+            path = tuple(n for tag, n, _ in self._stack if tag not in INLINE or n in self.suspect)
             self.lines.append((text, self._tags, self._linked, bad, path))
         if text or self._parts:
             self._tags = self._linked = 0
         self._parts = []
 
     def _pop_to(self, at: int) -> None:
-        if any(tag not in INLINE or bad != (k > 0 and self._stack[k - 1][2]) for k, (tag, _, bad) in enumerate(self._stack[at:], at)):
+        if any(
+            tag not in INLINE or n in self.suspect or bad != (k > 0 and self._stack[k - 1][2])
+            for k, (tag, n, bad) in enumerate(self._stack[at:], at)
+        ):
             self._flush()
         for tag, _, _ in self._stack[at:]:
             self._open_links -= tag == "a"
@@ -119,9 +138,13 @@ class _Lines(HTMLParser):
             return
         above = bool(self._stack) and self._stack[-1][2]
         bad = above or _is_boilerplate(tag, dict(attrs))
-        if bad and not above:
+        suspect = not bad and _named(MARKS, tag, dict(attrs))
+        if (bad and not above) or suspect:
             self._flush()
         self._next += 1
+        self.kinds[self._next] = tag
+        if suspect:
+            self.suspect.add(self._next)
         if tag in MAIN and not bad:
             self.marked[self._next] = tag
         self._open_links += tag == "a"
@@ -174,42 +197,87 @@ def two_means_threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _looks_like_boilerplate(lines: list[tuple], rich: list[bool], elements: set[int]) -> set[int]:
+    """Those of the ``elements`` that are mostly links or hold no rich line."""
+    size, links, prose = dict.fromkeys(elements, 0), dict.fromkeys(elements, 0), set()
+    for (text, _, linked, bad, path), is_rich in zip(lines, rich):
+        for n in elements.intersection(path) if not bad else ():
+            size[n] += len(text)
+            links[n] += linked
+            if is_rich and len(text) - linked >= PROSE:
+                prose.add(n)
+    return {n for n in elements if n not in prose or links[n] >= LINK_ELEMENT * size[n]}
+
+
 def main_text(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines, kinds = parser.lines, parser.kinds
     if not any(not bad for *_, bad, _ in lines):
         return ""
     ratios = np.array([len(text) / max(tags, 1) for text, tags, *_ in lines])
     smooth = smoothed(ratios)
-    content = smooth >= two_means_threshold(smooth)
+    threshold = two_means_threshold(smooth)
+    # one huge line must not hide ordinary prose
+    prose = min(threshold, float(np.expm1(two_means_threshold(np.log1p(smooth)))))
+    content = ((smooth >= threshold) | ((smooth >= prose) & (ratios >= prose))).tolist()
+    dropped = _looks_like_boilerplate(lines, (ratios >= prose).tolist(), parser.suspect) if parser.suspect else set()
+    if dropped:
+        lines = [(text, tags, linked, bad or not dropped.isdisjoint(path), path) for text, tags, linked, bad, path in lines]
     weight = [len(text) - linked if not bad else 0 for text, _, linked, bad, _ in lines]
-    votes = [w if c else 0 for w, c in zip(weight, content)]
-    if not any(votes):
-        votes = weight if any(weight) else [0 if line[3] else len(line[0]) for line in lines]
-    held: dict[int, int] = {}
-    for vote, (*_, path) in zip(votes, lines):
-        for element in path:
-            held[element] = held.get(element, 0) + vote
+    heads = [any(kinds[n] == "h1" for n in path[-1:]) for *_, path in lines]
+    voting = [
+        w > 0 and (c or head) and line[2] < LINK_ELEMENT * len(line[0])
+        for w, c, head, line in zip(weight, content, heads, lines)
+    ]
+    if parser.suspect:
+        # text that a class or id marks moves the region only if it is most of the content
+        clear = [v and parser.suspect.isdisjoint(line[4]) for v, line in zip(voting, lines)]
+        if 2 * sum(w for w, c in zip(weight, clear) if c) >= sum(w for w, v in zip(weight, voting) if v):
+            voting = clear
+    if not any(voting):
+        voting = [w > 0 for w in weight] if any(weight) else [not line[3] for line in lines]
     # a marked region without a vote may still be a short article
     marked = [n for n in parser.marked if any(not bad and n in path for *_, bad, path in lines)]
-    articles = [n for n in marked if parser.marked[n] == "article"] or marked
-    total = sum(votes)
-    if articles:
-        region = max(articles, key=lambda n: (held.get(n, 0), -n))
-        kept = [text for text, _, _, bad, path in lines if not bad and region in path]
+    if marked:
+        regions = _marked_regions(lines, weight, voting, marked, parser.marked)
+        articles = {n for n in regions if parser.marked[n] == "article"} or regions
     else:
-        fit = [n for n, v in held.items() if v >= REGION_SHARE * total]
-        region = max(fit, default=0)
-        kept = [
-            text
-            for text, _, linked, bad, path in lines
-            if not bad and (region in path or not region) and linked < 0.8 * len(text)
-        ]
+        common = set.intersection(*(set(path) for (*_, path), v in zip(lines, voting) if v)) if any(voting) else set()
+        regions, articles = {max((n for n in common if kinds[n] in CONTAINERS), default=0)}, set()
+
+    def block(path: tuple[int, ...]) -> int:
+        return next((n for n in reversed(path) if kinds[n] in BLOCKS), 0)
+
+    held = {block(path) for (*_, path), v in zip(lines, voting) if v}
+    kept = [
+        text
+        for (text, _, linked, bad, path), c in zip(lines, content)
+        if not bad
+        and (0 in regions or not regions.isdisjoint(path))
+        and (c or linked < LINK_LINE * len(text) or not articles.isdisjoint(path) or block(path) in held)
+    ]
     return " ".join(kept)
 
 
+def _marked_regions(lines: list[tuple], weight: list[int], voting: list[bool], marked: list[int], kinds: dict[int, str]) -> set[int]:
+    """The article with most votes, all others that are not links, and main elements with content outside of them."""
+    held, size, links = (dict.fromkeys(marked, 0) for _ in range(3))
+    for (text, _, linked, bad, path), w, v in zip(lines, weight, voting):
+        for n in held.keys() & set(path) if not bad else ():
+            held[n] += w if v else 0
+            size[n] += len(text)
+            links[n] += linked
+    articles = [n for n in marked if kinds[n] == "article"]
+    if not articles:
+        return set(marked)
+    best = max(articles, key=lambda n: (held[n], -n))
+    regions = {n for n in articles if n == best or links[n] < LINK_ELEMENT * size[n]}
+    outside = [set(path) for (*_, path), v in zip(lines, voting) if v and regions.isdisjoint(path)]
+    return regions | {n for n in marked if kinds[n] == "main" and any(n in path for path in outside)}
+
+
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, ``text`` and ``n_chars`` (its code points) of every row of ``pages``.
 
