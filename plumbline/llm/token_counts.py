@@ -4,8 +4,9 @@ The vocabulary has no piece that goes on after a space it does not begin with, s
 breaks into fields at its single spaces and its tokens are those of the fields. Counting
 is a lookup per distinct field of a slice of rows: first in a table of frequent fields
 that the driver broadcasts, then in the worker's cache, and only then by the tokenizer.
-Nothing is shuffled. The table only saves work: whatever it holds, the counts are the
-tokenizer's own.
+The table comes from all documents: each task keeps a bounded summary of its fields
+(Misra and Gries), and the sums of these are all that is shuffled. The table only saves
+work: whatever it holds, the counts are the tokenizer's own.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.common import slices, texts_of
 
-#: Fields in the broadcast table, and the documents they are taken from (parameters of speed only).
+#: Fields in the broadcast table, and in the summary of a task (parameters of speed only).
 TABLE_SIZE = 1 << 16
-SAMPLE_DOCS, SAMPLE_CHARS = 1000, 10_000
+SUMMARY_SIZE = 1 << 17
 #: A worker's cache is emptied beyond so many fields; longer fields are not kept.
 CACHE_SIZE = 1 << 18
 KEPT_LENGTH = 64
@@ -54,18 +55,40 @@ def fields_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return lists.flatten(), counts, mask
 
 
-def frequent_fields(docs: DataFrame, text: str, size: int = TABLE_SIZE, sample: int = SAMPLE_DOCS) -> pa.Array:
-    """The commonest fields of a bounded sample of ``docs``.
+def _summary(parts: list[pa.Table], size: int) -> pa.Table:
+    """The sums of the counts by field; if over ``size`` fields, less the count of the first one too many."""
+    held = pa.concat_tables(parts).group_by("field").aggregate([("n", "sum")]).rename_columns(["field", "n"])
+    if held.num_rows <= size:
+        return held
+    counts = held.column("n").to_numpy()
+    left = counts - np.partition(counts, -size - 1)[-size - 1]
+    return pa.table({"field": held.column("field"), "n": pa.array(left)}).filter(pa.array(left > 0))
 
-    A limited collect reads only as many partitions as it takes, and moves at most
-    ``sample`` texts of ``SAMPLE_CHARS`` characters.
+
+def frequent_fields(docs: DataFrame, text: str, size: int = TABLE_SIZE, summary: int = SUMMARY_SIZE) -> pa.Array:
+    """The commonest fields of all ``docs``.
+
+    A task forgets fields beyond ``summary`` of them, by at most one occurrence in
+    ``summary`` of what it read; so a field that is more frequent than that overall is
+    counted, and no count is too high.
     """
-    known = F.col(text).isNotNull() & (F.length(F.col(text)) <= SAMPLE_CHARS)
-    texts = pa.array([r[0] for r in docs.where(known).select(text).limit(sample).collect()], pa.string())
-    found = pc.value_counts(fields_of(texts)[0])
-    counted = zip(found.field("values").to_pylist(), found.field("counts").to_pylist())
-    top = sorted((w for w in counted if w[1] > 1 and len(w[0]) <= KEPT_LENGTH), key=lambda w: (-w[1], w[0]))
-    return pa.array([w for w, _ in top[:size]], pa.string())
+    if not size:
+        return pa.array([], pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        for batch in slices(batches, "text"):
+            fields = fields_of(texts_of(batch, "text"))[0]
+            found = pc.value_counts(fields.filter(pc.less_equal(pc.utf8_length(fields), KEPT_LENGTH)))
+            parts.append(pa.table({"field": found.field("values"), "n": found.field("counts")}))
+            if sum(part.num_rows for part in parts) > 4 * summary:
+                parts = [_summary(parts, summary)]
+        if parts:
+            yield from _summary(parts, summary).to_batches()
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "field string, n bigint")
+    top = counted.groupBy("field").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "field").limit(size)
+    return pa.array([r[0] for r in top.select("field").collect()], pa.string())
 
 
 def count_tokens(
@@ -75,7 +98,6 @@ def count_tokens(
     keep: tuple[str, ...] = ("doc_id",),
     limit: int = 4096,
     table_size: int = TABLE_SIZE,
-    sample_docs: int = SAMPLE_DOCS,
 ) -> DataFrame:
     """The columns ``keep``, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -85,7 +107,7 @@ def count_tokens(
     doubled or outer spaces go to the tokenizer as they are.
     """
     spark = docs.sparkSession
-    frequent = frequent_fields(docs, text, table_size, sample_docs)
+    frequent = frequent_fields(docs, text, table_size)
     model = open_model(model_path)
     lengths = np.array([len(x) for x in model.encode(frequent.to_pylist(), num_threads=1)], np.uint16)
     shared = spark.sparkContext.broadcast((frequent, lengths))

@@ -48,6 +48,18 @@ def test_word_ids_add_up_to_the_text(texts):
     assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_frequent_fields_are_those_of_all_documents(spark):
+    rows = [(i, "first come first served") for i in range(1200)]
+    rows += [(2000 + i, "last " * 20 + "again " * 10 + f"own{i}") for i in range(600)] + [(3000, "long " * 15_000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    assert token_counts.frequent_fields(docs, "text", 4).to_pylist() == ["long", "last", "again", "first"]
+    # a summary of few fields still knows those that fill much of the table
+    assert token_counts.frequent_fields(docs, "text", 2, 16).to_pylist() == ["long", "last"]
+    counts = [pa.table({"field": ["a", "b", "c"], "n": [5, 3, 1]}), pa.table({"field": ["a", "d"], "n": [2, 1]})]
+    assert sorted(token_counts._summary(counts, 2).to_pylist(), key=str) == [{"field": "a", "n": 6}, {"field": "b", "n": 2}]
+    assert token_counts._summary(counts, 4).num_rows == 4
+
+
 def check_packed(rows, documents, capacity):
     tokenizer = Tokenizer.from_file(WORDS)
     want = []
