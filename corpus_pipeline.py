@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: each stage works on what the one before kept.
 
 1. ``language_id``: documents without a recognisable language go.
-2. ``line_dedup``: lines that equal, or nearly equal, an earlier line are cut out.
+2. ``line_dedup``: lines that equal, or nearly equal, an earlier line are cut out, and
+   exact copies of an earlier document, which would be left without a line, go.
 3. ``ngram_jaccard``: of near-duplicate documents the first stays.
 4. ``decontamination``: documents that hold benchmark text go.
 5. ``packing``: the rest becomes sequences of 4096 tokens.
@@ -31,7 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs)
+    left = line_dedup.dedup_lines(line_dedup.without_copies(docs))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

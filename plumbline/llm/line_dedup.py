@@ -33,6 +33,8 @@ UPPER, LOWER, SPACES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 MIN_NEAR = 20
 #: Characters in a block; longer lines get the square root of their length, if that is more.
 BLOCK = 32
+#: Names of copied texts that are broadcast, after counting; more are joined.
+BROADCAST_ROWS = 1_000_000
 
 
 def plain(line: Column) -> Column:
@@ -161,6 +163,25 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return chosen.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns])
 
 
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose whole text is that of an earlier document.
+
+    Earlier is as in :func:`dedup_lines`, which would cut all lines of such a row and
+    leaves all others the same lines with and without it. Null texts and texts of white
+    space stay; whole rows that repeat stay or go alike. Texts are told apart by 128 bits.
+    """
+    name = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), F.col(text)).alias("b"))
+    place = F.struct(F.col(doc_id).alias("id"), text_key(F.col(doc_id), F.col(text)).alias("key"))
+    named = docs.where(~_blank(F.col(text))).select(name.alias("name"), place.alias("place"))
+    spread = named.groupBy("name").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    copied = stage(spread.where("first < last").select(F.col("name").alias("c_name"), F.col("first").alias("c_first")), "copied")
+    small = copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("own_name"), place.alias("own_place"))
+    met = rows.join(F.broadcast(copied) if small else copied, F.col("own_name") == F.col("c_name"), "left")
+    stays = met.where(F.col("c_first").isNull() | (F.col("own_place") == F.col("c_first")))
+    return stays.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_left``, ``kept_sha256`` (of the text that is left; a null text counts as empty)."""
     n_lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("bigint")

@@ -30,6 +30,15 @@ def test_stages_as_by_brute_force(spark, odd, nothing, folder):
     assert sorted((r.doc_id, r.text) for r in step.collect()) == sorted(left)
 
 
+def test_copies_do_not_go_on_as_empty_documents(spark):
+    text = "a line of the first document, with some words\n\nand another line of it"
+    rows = [(1, text), (2, text), (3, text), (None, "no id\nat all"), (9, "no id\nat all"), (4, text + "\nand one of its own"), (5, ""), (6, " \n"), (7, None), (8, text), (8, text)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "mine") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, had_words string")
+    left = corpus_pipeline.cut_repeated_lines(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "no id\nat all"), (1, text), (4, "\nand one of its own"), (5, ""), (6, " \n"), (7, None)]
+
+
 def test_empty_and_odd_tables_pass(spark, odd, nothing, folder):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     for docs in (nothing, odd):
