@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import jaccard_join, line_dedup, quality, secret_scan, suffix_dedup
+from plumbline.llm import jaccard_join, language_model, line_dedup, quality, secret_scan, suffix_dedup
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.html_text import extract
@@ -81,3 +81,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = language_model.score_all(table(spark, sf_dir, "documents"))
+    rounded = {c: F.round(c, 6) for c in ("base_score", "score")}  # sums differ in the last places by their order
+    return scores.withColumns(rounded).drop("perplexity")
+
+
+SQL["op12_lm_scoring"] = language_model.oracle()
