@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import jaccard_join, language_model, line_dedup, quality, secret_scan, suffix_dedup
+from plumbline.llm import hard_negatives, jaccard_join, language_model, line_dedup, quality, secret_scan, suffix_dedup
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.html_text import extract
@@ -91,3 +91,11 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_lm_scoring"] = language_model.oracle()
+
+
+@query
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_hard_negative_mining"] = hard_negatives.oracle()
