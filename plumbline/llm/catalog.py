@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import hard_negatives, jaccard_join, language_model, line_dedup, quality, secret_scan, suffix_dedup
+from plumbline.llm import filter_audit, hard_negatives, jaccard_join, language_model, line_dedup, quality, secret_scan, suffix_dedup
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.html_text import extract
@@ -83,6 +83,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = filter_audit.oracle()
+
+
 @query
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = language_model.score_all(table(spark, sf_dir, "documents"))
