@@ -4,26 +4,27 @@ Every filter has one table with the ids of the rows that fail it. Left-semi join
 find the rows that it fails at all; the rows that survive a set of filters are found by
 left-anti joins, each set from the set with one filter less. As the order of earlier filters does
 not matter, n filters need 2**n survivor relations, whatever the number of orders. All
-tables are dealt and sorted by id once, so none of these joins moves a row, and one
-aggregation with map-side sums counts all relations by part. What a filter removes after a
-prefix is what the prefix leaves less what both leave, for all rows and for labelled ones;
-what else it fails is redundant; unique failures and shares over all orders follow.
+tables are dealt and sorted by id once, so none of these joins moves a row, and every
+relation is counted by part with map-side sums. What a filter removes after a prefix is
+what the prefix leaves less what both leave, for all rows and for labelled ones; what else
+it fails is redundant; unique failures and shares over all orders follow.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.plans.cutting import stage, staging
+from plumbline.plans.cutting import scratch_path, stage, staging
 from plumbline.plans.skew import lookup_join
 
 #: Rows of the id tables in a task, as long as the session's shuffle partitions allow.
 ROWS_PER_TASK = 1 << 16
 #: A text with more copies is split over tasks where copies meet its first id.
 CROWD = 20_000
+#: Tasks that add up the counts of a relation.
+COUNT_TASKS = 4
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITALS_PERCENT = 100, 80, 10
 SYMBOLS = "#$%&*|"
 COPY = "E"
@@ -63,18 +64,32 @@ def relations(members: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
     """``part``, ``relation``, ``n``, ``good``, ``toxic`` of each relation that has rows.
 
     ``-AC`` holds the rows that survive the filters A and C (``-`` all rows), ``+A`` those that A fails.
-    Names of filters are single characters; in a set they are in ascending order.
+    Names of filters are single characters; in a set they are in ascending order. Sets are
+    visited depth first, so at most one relation per filter is held at a time.
     """
-    names = sorted(failing)
-    found = {"-": members}
-    for size in range(1, len(names) + 1):
-        for chosen in combinations(names, size):
-            found["-" + "".join(chosen)] = found["-" + "".join(chosen[:-1])].join(failing[chosen[-1]], _ID, "left_anti")
-    found |= {f"+{name}": members.join(ids, _ID, "left_semi") for name, ids in failing.items()}
-    marked = [rows.select(F.lit(name).alias("relation"), "part", "good", "toxic") for name, rows in found.items()]
-    return reduce(DataFrame.unionAll, marked).groupBy("part", "relation").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic")
-    )
+    spark = members.sparkSession
+    place = scratch_path(spark, "relations")
+    written: list[str] = []
+
+    def record(name: str, rows: DataFrame) -> None:
+        counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
+        written.append(f"{place}/{len(written)}")
+        # a handful of sums per part and task is all that is shuffled
+        counts.withColumn("relation", F.lit(name)).coalesce(COUNT_TASKS).write.parquet(written[-1])
+
+    def visit(name: str, alive: DataFrame, later: list[str]) -> None:
+        record(name, alive)
+        for k, f in enumerate(later):
+            left = alive.join(failing[f].hint("merge"), _ID, "left_anti")
+            if later[k + 1 :]:
+                left = left.persist()
+            visit(name + f, left, later[k + 1 :])
+            left.unpersist()
+
+    visit("-", members, sorted(failing))
+    for name, ids in failing.items():
+        record(f"+{name}", members.join(ids.hint("merge"), _ID, "left_semi"))
+    return spark.read.parquet(*written)
 
 
 def orders_report(counts: DataFrame, names: str) -> DataFrame:
@@ -143,7 +158,7 @@ def audit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         tasks = min(-(-judged.count() // ROWS_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))) or 1
         members = _dealt(stage(members, "members"), tasks)
         failing = {name: _dealt(stage(ids.distinct(), f"failing-{name}"), tasks) for name, ids in tables.items()}
-        counts = stage(relations(members, failing), "relations")
+        counts = relations(members, failing)
         for dealt in (members, *failing.values()):
             dealt.unpersist()
         return stage(orders_report(counts, "".join(sorted(failing))), "audit", outer=True)
