@@ -2,44 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
+from plumbline.operators.forests import contract
 from plumbline.operators.graph import Graph, heavy_ends
 from plumbline.operators.numbering import number_rows
 from plumbline.plans.cutting import cut, stage
-from plumbline.plans.skew import GROUP_LIMIT, heavy_among, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, heavy_among, if_any, lookup_join
 
 
-def undirected(edges: DataFrame) -> DataFrame:
+#: Links that one task may contract at the end (16 bytes each).
+ONE_TASK = 2_000_000
+
+
+def undirected(edges: DataFrame, distinct: bool = True) -> DataFrame:
     """Distinct [child, parent] pairs with child > parent; self-loops removed."""
-    return (
-        edges.where(F.col("src") != F.col("dst"))
-        .select(F.greatest("src", "dst").alias("child"), F.least("src", "dst").alias("parent"))
-        .distinct()
+    pairs = edges.where(F.col("src") != F.col("dst")).select(
+        F.greatest("src", "dst").alias("child"), F.least("src", "dst").alias("parent")
     )
+    return pairs.distinct() if distinct else pairs
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def connected_components(
+    vertices: DataFrame, edges: DataFrame, group_limit: int = GROUP_LIMIT, one_task: int = ONE_TASK
+) -> DataFrame:
     """[id, component], a component being named after its smallest id.
 
+    Ids that are no whole numbers stand as 64-bit hashes, which are checked to be
+    distinct, or else as numbers in their order. Every partition of the edges is
+    contracted to a forest of stars where it lies, so only forest links are shuffled. What
+    is then left, if it has at most ``one_task`` links, is contracted in one task; beyond
+    that, star rounds settle it (:func:`_star_rounds`). Names come back in the end: the
+    smallest id of a component, joined to its members.
+    """
+    if isinstance(edges.schema["src"].dataType, IntegralType):
+        ids = vertices.select("id").distinct()
+        links = _settled(edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")), group_limit, one_task)
+        return ids.join(links, F.col("id") == F.col("child"), "left").select(
+            "id", F.coalesce(F.col("parent").cast(vertices.schema["id"].dataType), "id").alias("component")
+        )
+    pairs = edges.where(F.col("src") != F.col("dst")).select("src", "dst")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"), F.lit(False).alias("listed"))
+    listed = vertices.select("id", F.lit(True).alias("listed")).unionByName(ends)
+    names = stage(listed.groupBy("id").agg(F.bool_or("listed").alias("listed")).withColumn("number", _number("id")), "names")
+    if names.groupBy("number").count().where("count > 1").isEmpty():
+        numbers = pairs.select(_number("src").alias("src"), _number("dst").alias("dst"))
+    else:
+        names = stage(number_rows(names.drop("number"), ["id"], "number"), "names")
+        numbers = pairs
+        for end in ("src", "dst"):
+            known = names.select(F.col("id").alias("of"), F.col("number").alias(f"{end}_number"))
+            numbers = lookup_join(numbers, known, end, "of", limit=group_limit)
+        numbers = numbers.select(F.col("src_number").alias("src"), F.col("dst_number").alias("dst"))
+    links = _settled(numbers, group_limit, one_task)
+    members = names.join(links, F.col("number") == F.col("child"), "left").select(
+        "id", "listed", F.coalesce("parent", "number").alias("root")
+    )
+    members = stage(members, "members")
+    named = members.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    named = stage(named.where("size > 1"), "components")  # all other ids are components of their own
+    heavy = if_any(heavy_among(named, "root", "size", group_limit))
+    found = lookup_join(members, named.drop("size"), "root", "root", "left", spread=["id"], heavy=heavy)
+    return found.where("listed").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _number(name: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.xxhash64(name))
+
+
+def _settled(edges: DataFrame, group_limit: int, one_task: int) -> DataFrame:
+    """[child, parent] of every id that is not its component's smallest, with that one."""
+    links = cut(contract(undirected(edges, distinct=False)))
+    if links.count() <= one_task:
+        return cut(contract(links.repartition(1)))
+    return _star_rounds(cut(links.distinct()), group_limit)
+
+
+def _star_rounds(links: DataFrame, group_limit: int) -> DataFrame:
+    """Links that all point straight at the smallest id of their component.
+
     Alternates the large-star and small-star contractions of Kiveris et al.,
-    "Connected Components in MapReduce and Beyond" (SoCC 2014), until every edge
-    points straight at the smallest id, which takes O(log^2 n) rounds. Ids that are no
-    whole numbers are numbered in their order first, so the rounds move numbers; each
-    round is cut once. Rounds go on until settled; one that changes nothing is an error.
+    "Connected Components in MapReduce and Beyond" (SoCC 2014), which takes O(log^2 n)
+    rounds. Each round is cut once. Rounds go on until settled; one that changes nothing
+    is an error.
     """
-    links = undirected(edges)
-    ids = None
-    if not isinstance(links.schema["child"].dataType, IntegralType):
-        links = stage(links, "links")
-        ends = links.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
-        ids = stage(number_rows(ends, ["id"], "number"), "ids")
-        for end in ("child", "parent"):
-            known = ids.select(F.col("id").alias("of"), F.col("number").alias(f"{end}_number"))
-            links = lookup_join(links, known, end, "of", limit=group_limit)
-        links = links.select(F.col("child_number").alias("child"), F.col("parent_number").alias("parent"))
-    links = cut(links)
     before = None
     while True:
         # per vertex: its smallest neighbour and how many lie on either side
@@ -62,7 +109,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, group_limit: int
         ).first()
         if not facts["unsettled"]:
             around.unpersist()
-            break
+            return links
         if facts["fingerprint"] == before:
             raise RuntimeError("a round of contraction changed nothing")
         before = facts["fingerprint"]
@@ -71,13 +118,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, group_limit: int
         crowded = facts["below"] > group_limit
         links = cut(_small_star(_large_star(links, around, heavy), group_limit if crowded else None))
         around.unpersist()
-    if ids is not None:
-        names = ids.select(F.col("id").alias("name"), F.col("number").alias("of"))
-        links = lookup_join(links, names, "parent", "of", limit=group_limit).select("child", F.col("name").alias("parent"))
-        links = lookup_join(links, names, "child", "of", limit=group_limit).select(F.col("name").alias("child"), "parent")
-    return vertices.select("id").distinct().join(links, F.col("id") == F.col("child"), "left").select(
-        "id", F.coalesce("parent", "id").alias("component")
-    )
 
 
 def _large_star(links, around, heavy):

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import Graph
-from plumbline.operators import components, graph, hits, merge
+from plumbline.operators import components, forests, graph, hits, merge
 from plumbline.operators.numbering import number_rows
 from plumbline.plans import skew
 from plumbline.sources.snapshots import read_snapshots
@@ -56,8 +58,8 @@ def test_social_components(spark):
     assert labels(components.connected_components(g.vertices, g.edges)) == {**dict.fromkeys("abcdef", "a"), "g": "g"}
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 3])
-def test_components_of_chains_and_stars(spark, limit):
+@pytest.mark.parametrize("limit, one_task", [(1_000_000, components.ONE_TASK), (1_000_000, 0), (3, 0)])
+def test_components_of_chains_and_stars(spark, limit, one_task):
     pick = random.Random(3)
     names = [f"{i:03d}" for i in range(150)]
     pick.shuffle(names)
@@ -65,7 +67,90 @@ def test_components_of_chains_and_stars(spark, limit):
     pairs = list(zip(chain, chain[1:])) + [(star[0], s) for s in star[1:]] + [(star[5], star[9]), (chain[3], chain[3])]
     g = make(spark, names, pairs)
     expected = {**dict.fromkeys(chain, min(chain)), **dict.fromkeys(star, min(star)), **{n: n for n in names[140:]}}
-    assert labels(components.connected_components(g.vertices, g.edges, group_limit=limit)) == expected
+    assert labels(components.connected_components(g.vertices, g.edges, group_limit=limit, one_task=one_task)) == expected
+
+
+def sparse_graph(n, pairs, seed):
+    pick = random.Random(seed)
+    links = [(pick.randrange(n), pick.randrange(n)) for _ in range(pairs)]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return links, [find(x) for x in range(n)]
+
+
+def test_forests_connect_the_same_ids():
+    for seed in range(20):
+        links, root = sparse_graph(300, 20 * seed, seed)
+        found = forests.roots(np.array([(max(x), min(x)) for x in links], np.int64).reshape(-1, 2).T)
+        assert dict(found.T.tolist()) == {i: r for i, r in enumerate(root) if i != r}
+
+
+@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
+def test_components_by_number_and_by_name(spark, monkeypatch, one_task):
+    n = 2000
+    links, root = sparse_graph(n, 1800, 5)
+    edges = spark.createDataFrame(links + links[:50], "src int, dst int").repartition(7)
+    found = components.connected_components(spark.range(n + 3).select(F.col("id").cast("int")), edges, one_task=one_task)
+    assert found.schema["component"].dataType.simpleString() == "int"
+    assert labels(found) == {**dict(enumerate(root)), **{n + k: n + k for k in range(3)}}
+
+    name = lambda c: F.lpad(F.col(c).cast("string"), 5, "0")
+    named = edges.select(name("src").alias("src"), name("dst").alias("dst"))
+    # half of the ids are not listed, one is null
+    listed = spark.range(0, n, 2).select(name("id").alias("id")).union(spark.createDataFrame([(None,)], "id string"))
+    expected = {**{f"{i:05d}": f"{r:05d}" for i, r in enumerate(root) if i % 2 == 0}, None: None}
+    assert labels(components.connected_components(listed, named, one_task=one_task)) == expected
+    assert labels(components.connected_components(listed, named, group_limit=5, one_task=one_task)) == expected
+    # hashes that collide
+    monkeypatch.setattr(components, "_number", lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c) % 500))
+    assert labels(components.connected_components(listed, named, one_task=one_task)) == expected
+
+
+def test_forests_save_rounds(spark, monkeypatch):
+    pick = random.Random(8)
+    names = list(range(4000))
+    pick.shuffle(names)
+    chain = spark.createDataFrame(list(zip(names, names[1:])), "src long, dst long").repartition(4)
+    rounds = []
+    small_star = components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda *x: rounds.append(1) or small_star(*x))
+
+    def count(links):
+        rounds.clear()
+        assert components._star_rounds(links, 1_000_000).agg(F.max("parent")).first()[0] == 0
+        return len(rounds)
+
+    plain = components.undirected(chain)
+    # a partition that holds a stretch of the chain gives one star
+    stretches = chain.join(spark.createDataFrame(list(zip(names, range(4000))), "src long, at long"), "src").repartitionByRange(8, "at")
+    assert 2 * count(forests.contract(components.undirected(stretches, distinct=False)).distinct()) <= count(plain)
+
+
+def test_many_forests_from_one_partition(spark, monkeypatch):
+    links, root = sparse_graph(120, 700, 2)
+    monkeypatch.setattr(forests, "TASK_LINKS", 100)
+    batches = [pa.RecordBatch.from_pydict({"child": [max(a, b)], "parent": [min(a, b)]}) for a, b in links if a != b]
+    made = {}
+
+    class Links:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, f, schema):
+            made["links"] = [x for out in f(iter(batches)) for x in zip(*out.to_pydict().values())]
+
+    forests.contract(Links())
+    assert len(made["links"]) < len(batches)
+    found = forests.roots(np.array(made["links"]).T)
+    assert dict(found.T.tolist()) == {i: r for i, r in enumerate(root) if i != r}
 
 
 def test_pairs_with_unknown_ids_stay(spark):
