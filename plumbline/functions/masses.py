@@ -10,6 +10,10 @@ FULL_TRUST_USER_DEGREE = 5
 FULL_TRUST_PRODUCT_DEGREE = 30
 PRODUCT_TRUST = 0.7
 
+#: Masses are taken in whole steps of 10**-6 before they are rounded any further, so that
+#: the last bits of a float, which depend on the order of a sum, do not decide a half.
+STEP_DIGITS = 6
+
 
 def fuse(
     u_deg: Column, p_deg: Column, fraud: Column, honest: Column, bad: Column, good: Column, score: Column
@@ -39,6 +43,15 @@ def fuse(
     }
 
 
+def in_units(mass: Column, digits: int = 2) -> Column:
+    """The mass in whole units of 10**-digits, a half going up; exact up to ``STEP_DIGITS`` digits."""
+    if not 0 <= digits <= STEP_DIGITS:
+        raise ValueError(f"digits must be 0 to {STEP_DIGITS}, not {digits}")
+    steps = F.round(mass * F.lit(float(10**STEP_DIGITS))).cast("bigint")
+    unit = 10 ** (STEP_DIGITS - digits)
+    return steps if unit == 1 else F.floor((steps + unit // 2) / unit).cast("bigint")
+
+
 def as_map(fake: Column, genuine: Column, uncertainty: Column) -> Column:
     """map<string,double> of the three masses, null where there are none."""
     return F.when(
@@ -48,7 +61,10 @@ def as_map(fake: Column, genuine: Column, uncertainty: Column) -> Column:
 
 
 def decide(fake: Column, genuine: Column, uncertainty: Column) -> Column:
-    """'uncertain', 'fake' or 'genuine'; a fake/genuine tie is genuine, no masses no label."""
+    """'uncertain', 'fake' or 'genuine'; a fake/genuine tie is genuine, no masses no label.
+
+    Sums are compared, so the masses should be whole units (:func:`in_units`).
+    """
     return (
         F.when(uncertainty > fake + genuine, "uncertain")
         .when(fake > genuine, "fake")

@@ -9,6 +9,7 @@ from plumbline.operators.graph import heavy_vertices
 from plumbline.plans.skew import GROUP_LIMIT, lookup_join
 
 _DIGITS = 4
+_MASSES = ("fake", "genuine", "uncertainty")
 
 
 def endpoint_evidence(
@@ -49,17 +50,18 @@ def fuse_review_labels(
 ) -> DataFrame:
     """Edges with the unrounded masses ``fake``, ``genuine``, ``uncertainty`` and the ``label``.
 
-    The label is decided on masses rounded to 2 places.
+    The label is decided on masses rounded to 2 places, in whole hundredths.
     """
     evidence = endpoint_evidence(vertices, edges, carry, limit)
     c = F.col
     fused = masses.fuse(c("u_deg"), c("p_deg"), c("fraudster"), c("honest"), c("bad"), c("good"), c("s"))
-    return evidence.withColumns(fused).withColumn("label", masses.decide(*rounded_masses()))
+    hundredths = [masses.in_units(F.col(m)) for m in _MASSES]
+    return evidence.withColumns(fused).withColumn("label", masses.decide(*hundredths))
 
 
 def rounded_masses(digits: int = 2) -> list[Column]:
     """The mass columns as labels see them."""
-    return [F.round(m, digits).alias(m) for m in ("fake", "genuine", "uncertainty")]
+    return [(masses.in_units(F.col(m), digits) / F.lit(float(10**digits))).alias(m) for m in _MASSES]
 
 
 def with_mass_map(labelled: DataFrame, column: str = "masses", digits: int = 2) -> DataFrame:
@@ -67,8 +69,11 @@ def with_mass_map(labelled: DataFrame, column: str = "masses", digits: int = 2)
     return labelled.withColumn(column, masses.as_map(*rounded_masses(digits)))
 
 
+def unlabelled_counts() -> dict[str, Column]:
+    """Aggregates: edges read and edges whose masses could not be fused."""
+    return {"edges": F.count(F.lit(1)), "unlabelled": F.count_if(F.col("fake").isNull())}
+
+
 def unlabelled_edges(labelled: DataFrame) -> DataFrame:
-    """One row: edges read and edges whose masses could not be fused."""
-    return labelled.agg(
-        F.count(F.lit(1)).alias("edges"), F.count_if(F.col("fake").isNull()).alias("unlabelled")
-    )
+    """One row of :func:`unlabelled_counts`."""
+    return labelled.agg(*[count.alias(name) for name, count in unlabelled_counts().items()])

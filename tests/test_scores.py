@@ -139,6 +139,21 @@ def test_label_ties(spark):
     assert [r.l for r in labels] == ["genuine", "uncertain", "fake"]
 
 
+def test_half_hundredths_do_not_follow_float_noise(spark):
+    # sums that are half a hundredth in exact arithmetic, a bit above or below as floats
+    halves = [0.125, 0.1 + 0.025, 0.3 - 0.175, 0.7 * 0.25 - 0.05, 0.325 - 0.2, 0.125 - 1e-16, 0.125 + 2e-16, 0.1249995001, 0.1249994]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(halves)], "i int, m double").orderBy("i")
+    assert [r.m for r in df.select("i", masses.in_units(F.col("m")).alias("m")).collect()] == [13] * 8 + [12]
+    assert [r.m for r in df.select("i", masses.in_units(F.col("m"), 4).alias("m")).collect()] == [1250] * 9
+    with pytest.raises(ValueError, match="digits"):
+        masses.in_units(F.col("m"), 7)
+    tied = spark.createDataFrame([(0.505, 0.495, 0.0), (0.495, 0.505, 0.0), (0.3, 0.2, 0.5), (0.1 + 0.205, 0.2, 0.5051)], "fake double, genuine double, uncertainty double")
+    units = [masses.in_units(F.col(c)) for c in tied.columns]
+    assert [r.l for r in tied.select(masses.decide(*units).alias("l")).collect()] == ["fake", "genuine", "fake", "fake"]
+    rounded = tied.select(*fusion.rounded_masses()).first()
+    assert tuple(rounded) == (0.51, 0.5, 0.0)
+
+
 def test_every_value_has_one_bucket(spark):
     values = [0.0, 0.1, 0.2, 0.3, 0.7, 0.9, 1.0, 0.29999, 0.3 - 1e-9]
     df = spark.createDataFrame([(v,) for v in values], "p double")
