@@ -63,6 +63,10 @@ IDIOMS = {
     "yeah right": -2.0,
 }
 
+#: Words one of which is in reach whenever a rule can change a word's sentiment: single
+#: words as they are, phrases by their longest part.
+SIGNALS = sorted({max(phrase.split(), key=len) for phrase in [*BOOSTERS, *DAMPENERS, *NEGATIONS, *IDIOMS, "so", "this", "least"]})
+
 _PUNCTUATION = r"\p{Punct}"
 
 
@@ -99,6 +103,11 @@ def is_modifier(word: Column, following: Column) -> Column:
     return word.isin(BOOSTERS + DAMPENERS) | ((word == "kind") & F.coalesce(following == "of", F.lit(False)))
 
 
+def signals(word: Column) -> Column:
+    """Whether a lower-case word can change the sentiment of its neighbours."""
+    return word.isin(SIGNALS) | word.contains("n't")
+
+
 def negates(word: Column) -> Column:
     return word.isin(NEGATIONS) | word.contains("n't")
 

@@ -1,18 +1,19 @@
 """Lexicon sentiment of texts.
 
-Texts are broken into words that carry their own neighbourhood (three words back,
-two ahead), so the rules need no ordering afterwards: words meet the lexicon,
-everything without a sentiment is dropped, and what is left is summed per text
-before the only shuffle. No text is ever gathered again.
+Texts become an index of their lexicon hits: id, position, word and valence, staged once.
+A hit carries its neighbourhood (three words back, two ahead) only where a word that can
+change a sentiment is in reach, so no ordering is needed afterwards. The rules look at
+those hits alone; all others count as they are. Hits are summed per text before the only
+shuffle. No text is ever gathered again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import valence as v
 from plumbline.functions.scoring import stronger_side
-from plumbline.plans.cutting import cut
+from plumbline.plans.cutting import cut, stage
 from plumbline.plans.skew import GROUP_LIMIT, heavy_keys, if_any, lookup_join
 
 MAX_BROADCAST_LEXICON = 1_000_000
@@ -36,8 +37,8 @@ def lexicon_sentiment(
     frequent words salted. A null text counts as empty.
     """
     valence = F.min(F.col("valence").cast("double")).alias("_valence")
-    lexicon = lexicon.groupBy(F.col("token").alias("_token")).agg(valence)
-    small = lexicon.limit(max_broadcast + 1).count() <= max_broadcast
+    lexicon = stage(lexicon.groupBy(F.col("token").alias("_token")).agg(valence), "tokens")
+    small = lexicon.count() <= max_broadcast
 
     def meet(rows: DataFrame, word: str, found: str) -> DataFrame:
         table = lexicon.withColumnRenamed("_valence", found)
@@ -48,55 +49,64 @@ def lexicon_sentiment(
     words = _words_in_context(texts, id_col, text_col)
     # a word precedes others at most as often as it occurs, so one count serves all joins
     heavy = None if small else if_any(cut(heavy_keys(words, "_word", group_limit)))
-    words = meet(words, "_word", "_base")
     modifier = v.is_modifier(F.col("_word"), F.col("_after_1"))
     # every text keeps its header row (no word), so texts without a hit survive
-    words = words.where(F.col("_word").isNull() | (F.col("_base").isNotNull() & ~modifier))
+    found = meet(words, "_word", "_base").where(F.col("_word").isNull() | (F.col("_base").isNotNull() & ~modifier))
+    hits = stage(found.withColumn("_word", F.when(F.col("_in_reach"), F.col("_word"))), "hits")
+    plain, changed = hits.where(~F.col("_in_reach")), hits.where("_in_reach")
     for k in (1, 2, 3):
-        words = meet(words, f"_before_{k}", f"_known_{k}")
-    return _per_text(_with_sentiment(words), id_col)
+        changed = meet(changed, f"_before_{k}", f"_known_{k}")
+    columns = [id_col, "_size", "_emphasis", "_value"]
+    weighed = _weighed(plain.withColumn("_value", _shouted_base())).select(*columns)
+    return _per_text(weighed.unionByName(_weighed(_with_rules(changed)).select(*columns)), id_col)
 
 
 def _words_in_context(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    tokens = F.col("_tokens")
-
-    def word(raw, at):
-        def lower(i):
-            return F.lower(F.get(tokens, at + i))
+    raw, lower, signal = F.col("_tokens"), F.col("_lower"), F.col("_signals")
+    near = [f"_raw_before_{k}" for k in (1, 2, 3)] + [f"_before_{k}" for k in (1, 2, 3)] + [f"_after_{k}" for k in (1, 2)]
 
+    def word(token, at):
+        in_reach = [F.get(signal, at + k) for k in range(-3, 3)]
+        around = [F.get(raw, at - k) for k in (1, 2, 3)] + [F.get(lower, at - k) for k in (1, 2, 3)] + [F.get(lower, at + k) for k in (1, 2)]
         return F.struct(
             at.alias("_at"),
-            raw.alias("_raw"),
-            F.lower(raw).alias("_word"),
-            *[F.get(tokens, at - k).alias(f"_raw_before_{k}") for k in (1, 2, 3)],
-            *[lower(-k).alias(f"_before_{k}") for k in (1, 2, 3)],
-            *[lower(k).alias(f"_after_{k}") for k in (1, 2)],
-        )
+            token.alias("_word"),
+            (F.col("_mixed") & v.is_upper(F.get(raw, at))).alias("_shouted"),
+            F.when(F.coalesce(*[F.when(c, c) for c in in_reach], F.lit(False)), F.struct(*[c.alias(n) for c, n in zip(around, near)])).alias("_near"),
+        )  # a null struct where no rule can apply
 
     texts_only = texts.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"))
     prepared = texts_only.select(id_col, v.words(F.col("_text")).alias("_tokens"), v.emphasis(F.col("_text")).alias("_emphasis"))
-    facts = prepared.select(
-        id_col,
-        "_emphasis",
-        F.size(tokens).alias("_size"),
-        v.mixed_capitals(tokens).alias("_mixed"),
-        (F.array_position(F.transform(tokens, F.lower), "but") - 1).alias("_but"),
-        F.transform(tokens, word).alias("_words"),
+    facts = (
+        prepared.withColumns({"_lower": F.transform(raw, F.lower), "_mixed": v.mixed_capitals(raw)})
+        .withColumn("_signals", F.transform(lower, v.signals))
+        .select(
+            id_col,
+            "_emphasis",
+            "_mixed",
+            F.size(raw).alias("_size"),
+            (F.array_position(lower, "but") - 1).alias("_but"),
+            F.transform(lower, word).alias("_words"),
+        )
     )
     header = F.array(F.lit(None).cast(facts.schema["_words"].dataType.elementType))
     return facts.withColumn("_entry", F.explode(F.concat(header, "_words"))).select(
-        id_col, "_emphasis", "_size", "_mixed", "_but", "_entry.*"
-    )
+        id_col, "_emphasis", "_size", "_mixed", "_but", "_entry._at", "_entry._word", "_entry._shouted",
+        F.col("_entry._near").isNotNull().alias("_in_reach"), *[f"_entry._near.{n}" for n in near],
+    )
+
 
+def _shouted_base() -> Column:
+    base = F.col("_base")
+    return base + F.when(F.col("_shouted"), v.capital_shift(base)).otherwise(0.0)
 
-def _with_sentiment(words: DataFrame) -> DataFrame:
+
+def _with_rules(words: DataFrame) -> DataFrame:
+    """``_value`` of the words that have something in reach."""
     c = F.col
     before = [c(f"_before_{k}") for k in (1, 2, 3)]
     after = [c("_after_1"), c("_after_2")]
-    shouted = c("_mixed") & v.is_upper(c("_raw"))
-    words = words.withColumn(
-        "_value", c("_base") + F.when(shouted, v.capital_shift(c("_base"))).otherwise(0.0)
-    )
+    words = words.withColumn("_value", _shouted_base())
     for k in (1, 2, 3):
         # a word that has a sentiment itself is never a modifier of the next one
         applies = c(f"_before_{k}").isNotNull() & c(f"_known_{k}").isNull()
@@ -107,13 +117,18 @@ def _with_sentiment(words: DataFrame) -> DataFrame:
     least = (c("_before_1") == "least") & c("_known_1").isNull() & (
         c("_before_2").isNull() | ~c("_before_2").isin("at", "very")
     )
-    value = F.when(least, c("_value") * F.lit(v.NEGATION)).otherwise(c("_value"))
+    return words.withColumn("_value", F.when(least, c("_value") * F.lit(v.NEGATION)).otherwise(c("_value")))
+
+
+def _weighed(words: DataFrame) -> DataFrame:
+    """What comes after a "but" counts more than what comes before."""
+    c = F.col
     weight = (
         F.when((c("_but") < 0) | (c("_at") == c("_but")), 1.0)
         .when(c("_at") < c("_but"), v.BEFORE_BUT)
         .otherwise(v.AFTER_BUT)
     )
-    return words.withColumn("_value", value * weight)
+    return words.withColumn("_value", c("_value") * weight)
 
 
 def _per_text(words: DataFrame, id_col: str) -> DataFrame:
