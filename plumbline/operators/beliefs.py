@@ -231,11 +231,14 @@ def node_beliefs(vertices: DataFrame, edges: DataFrame, sampling: Sampling | Non
     )
 
 
+def unscored_counts() -> dict[str, Column]:
+    """Aggregates: edges whose score is null or 0 and therefore send nothing new."""
+    return {"null_score": F.count_if(F.col("s").isNull()), "zero_score": F.count_if(F.col("s") == 0)}
+
+
 def unscored_edges(edges: DataFrame) -> DataFrame:
-    """One row: edges whose score is null or 0 and therefore send nothing new."""
-    return edges.agg(
-        F.count_if(F.col("s").isNull()).alias("null_score"), F.count_if(F.col("s") == 0).alias("zero_score")
-    )
+    """One row of :func:`unscored_counts`."""
+    return edges.agg(*[count.alias(name) for name, count in unscored_counts().items()])
 
 
 def _single_half_step(edges, side, sign_mag_effect, sampling, group_limit):
@@ -245,10 +248,14 @@ def _single_half_step(edges, side, sign_mag_effect, sampling, group_limit):
     return _expand(stepped, edges.columns)
 
 
-def _half_step(state, side, sign_mag_effect, sampling, group_limit, heavy):
+def _heard(side: _Side, sampling: Sampling | None) -> Column:
+    """What an edge adds to the evidence of its vertex."""
     heard = F.when(F.col(side.single), 0.0).otherwise(F.coalesce(F.col(side.heard), F.lit(0.0)))
-    if sampling is not None:
-        heard = F.when(sampling.keeps(F.col(side.degree)), heard).otherwise(0.0)
+    return heard if sampling is None else F.when(sampling.keeps(F.col(side.degree)), heard).otherwise(0.0)
+
+
+def _half_step(state, side, sign_mag_effect, sampling, group_limit, heavy):
+    heard = _heard(side, sampling)
     crowded = F.col(side.degree) > group_limit if heavy else None
     summed = add_group_sum(state, side.key, heard, "_sum", crowded)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import parsing, scoring
 
@@ -59,11 +59,16 @@ def review_score(
     return df.withColumns({"s": score, "vote": votes})
 
 
-def rejected_rows(df: DataFrame) -> DataFrame:
-    """One row: reviews read, with an unusable rating, with votes that are no number."""
+def rejected_counts() -> dict[str, Column]:
+    """Aggregates: reviews read, with an unusable rating, with votes that are no number."""
     vote = F.col("vote")
-    return df.agg(
-        F.count(F.lit(1)).alias("reviews"),
-        F.count_if(parsing.rating_weight(F.col("overall")).isNull()).alias("bad_rating"),
-        F.count_if((F.length(vote) > 0) & parsing.vote_number(vote).isNull()).alias("bad_vote"),
-    )
+    return {
+        "reviews": F.count(F.lit(1)),
+        "bad_rating": F.count_if(parsing.rating_weight(F.col("overall")).isNull()),
+        "bad_vote": F.count_if((F.length(vote) > 0) & parsing.vote_number(vote).isNull()),
+    }
+
+
+def rejected_rows(df: DataFrame) -> DataFrame:
+    """One row of :func:`rejected_counts`."""
+    return df.agg(*[count.alias(name) for name, count in rejected_counts().items()])

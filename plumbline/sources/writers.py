@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 # Table suffix of every stage.
 STAGES = {
@@ -15,6 +15,9 @@ STAGES = {
     "beliefs": "_Beliefs",
     "labels": "_Labels",
     "rejects": "_Rejects",
+    "broken_reviews": "_BrokenReviews",
+    "broken_products": "_BrokenProducts",
+    "progress": "_Progress",
 }
 
 
@@ -39,6 +42,14 @@ def write_table(
     writer.parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], mode: str = "errorifexists") -> dict[str, int]:
+    """Write ``df`` as parquet and return the named aggregates of its rows, taken by the write itself."""
+    seen = Observation()
+    observed = df.observe(seen, *[aggregate.alias(name) for name, aggregate in counts.items()])
+    write_table(observed, path, mode)
+    return seen.get
+
+
 def write_degree_histogram(histogram: DataFrame, kind: str, path: str, mode: str = "errorifexists") -> None:
     """[degree, frequency] of one vertex type as CSV with a header."""
     histogram.where(histogram.type == kind).select("degree", "frequency").write.mode(mode).option(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.messages import NEGATIVE, POSITIVE
-from plumbline.operators import beliefs, graph, reports
+from plumbline.operators import active, beliefs, graph, reports
 from plumbline.plans import skew
 from plumbline.sources.snapshots import last_iteration, read_snapshot, read_snapshots
 
@@ -184,3 +184,42 @@ def test_rows_without_a_heavy_flag_stay(spark):
     rows = spark.createDataFrame([("a", True, 1.0), ("a", True, 2.0), ("b", None, 4.0), ("c", False, 8.0)], "k string, heavy boolean, x double")
     summed = skew.add_group_sum(rows, "k", F.col("x"), "total", F.col("heavy"))
     assert sorted((r.k, r.total) for r in summed.collect()) == [("a", 3.0), ("a", 3.0), ("b", 4.0), ("c", 8.0)]
+
+
+@pytest.mark.parametrize("options", [{}, {"group_limit": 20}, {"broadcast_ids": 0}, {"sampling": beliefs.Sampling(max_deg=10, sample_size=5)}])
+def test_active_set_is_exact_without_tolerance(crowd, options):
+    _, start = crowd
+    plain = {k: v for k, v in options.items() if k != "broadcast_ids"}
+    settled, rounds = active.run_lbp_active(start, 4, **options)
+    close(rows_of(settled, *beliefs.MESSAGES), rows_of(beliefs.run_lbp(start, 4, **plain), *beliefs.MESSAGES))
+    assert settled.columns == start.columns and settled.count() == start.count()
+    assert [(r.iteration, r.side) for r in rounds.orderBy("iteration", F.desc("side")).collect()] == [(i, s) for i in range(1, 5) for s in ("user", "product")]
+
+
+def test_active_set_shrinks_and_ends(spark):
+    pick = random.Random(4)
+    # small trees of different depth, which settle one after another, and one ring
+    edges = []
+    for t in range(30):
+        for k in range(1 + t // 5):
+            edges += [(f"u{t}-{k}", f"p{t}-{k}", pick.choice([-0.5, 0.5])), (f"u{t}-{k}", f"p{t}-{k + 1}", pick.choice([-0.5, 0.5]))]
+    edges += [(f"ur{k}", f"pr{(k + d) % 5}", 0.5 if k else -0.5) for k in range(5) for d in (0, 1)]
+    _, start = belief_graph(spark, edges)
+    settled, rounds = active.run_lbp_active(start, 12)
+    close(rows_of(settled, *beliefs.MESSAGES), rows_of(beliefs.run_lbp(start, 12), *beliefs.MESSAGES))
+    shuffled = [r.shuffled_edges for r in rounds.where("side = 'user'").orderBy("iteration").collect()]
+    assert shuffled[0] > shuffled[2] > shuffled[4] and shuffled == sorted(shuffled, reverse=True)
+    loose, fewer = active.run_lbp_active(start, 12, tolerance=1e-3)
+    assert fewer.agg(F.sum("shuffled_edges")).first()[0] < rounds.agg(F.sum("shuffled_edges")).first()[0]
+    assert fewer.agg(F.max("iteration")).first()[0] < 12  # nothing moves any more
+    exact, near = rows_of(settled, "mp_bad"), rows_of(loose, "mp_bad")
+    assert all(abs(near[k][0] - exact[k][0]) < 1e-2 for k in exact)
+
+
+def test_active_set_without_edges(crowd):
+    _, start = crowd
+    settled, rounds = active.run_lbp_active(start.where("false"), 3)
+    assert settled.isEmpty() and rounds.agg(F.sum("shuffled_edges")).first()[0] == 0
+    untouched, none = active.run_lbp_active(start, 0)
+    assert none.isEmpty()
+    close(rows_of(untouched, *beliefs.MESSAGES), rows_of(start, *beliefs.MESSAGES))

@@ -4,10 +4,11 @@ from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from plumbline.operators import beliefs, fusion, graph, reports
 from plumbline.plans import cutting, pipeline
-from plumbline.sources import readers, writers
+from plumbline.sources import readers, snapshots, writers
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,8 @@ def test_whole_chain_on_files(spark, files, folder):
     assert sum(r.reviews for r in report) == 120
     as_map = fusion.with_mass_map(labels).first().masses
     assert set(as_map) == {"fake", "genuine", "uncertainty"}
+    progress = readers.read_table(spark, writers.stage_path(base, "progress")).first()
+    assert tuple(progress) == (120, 0)
     with pytest.raises(ValueError):
         pipeline.infer(spark, base, 1, start=3)
 
@@ -68,7 +71,10 @@ def test_narrow_tables_carried_columns_and_no_left_overs(spark, files, folder):
     for name in ("sentiment", "degrees", "belief_edges"):
         assert not set(pipeline.TEXTS) & set(readers.read_table(spark, writers.stage_path(base, name)).columns)
     rejects = readers.read_table(spark, writers.stage_path(base, "rejects")).first()
-    assert (rejects.reviews, rejects.bad_rating, rejects.bad_vote, rejects.null_score) == (120, 0, 0, 0)
+    assert rejects.asDict() == {"reviews": 120, "bad_rating": 0, "bad_vote": 0, "null_score": 0, "zero_score": rejects.zero_score, "broken_reviews": 0, "broken_products": 0}
+    enriched = readers.read_table(spark, writers.stage_path(base, "degrees"))
+    assert rejects.zero_score == enriched.where("s = 0").count()
+    assert not Path(writers.stage_path(base, "broken_reviews")).exists()
 
     labels = pipeline.infer(spark, base, 3, snapshot_dir=folder + "/rounds", carry=("overall",))
     assert labels.where("overall is not null").count() == 120
@@ -112,6 +118,96 @@ def test_texts_are_not_shuffled_after_the_sentiment(spark, files, folder):
     assert joins and "review_text" not in plan.splitlines()[0] + "".join(joins)
 
 
+def test_broken_lines_are_set_aside(spark, files, folder):
+    broken = ['{"reviewerID": "u1", "asin": "p1", "overall"', "no json", '{"reviewerID": "u2", "asin": "p2", "overall": "five"}']
+    lines = (files / "reviews.json").read_text().split("\n")
+    Path(folder, "reviews.json").write_text("\n".join([broken[0], *lines[:60], broken[1], "", *lines[60:], broken[2]]))
+    Path(folder, "meta.json").write_text((files / "meta.json").read_text() + "\n[1, 2\n")
+    base, lexicon = folder + "/games", spark.createDataFrame(LEXICON, "token string, valence double")
+    pipeline.prepare(spark, folder + "/reviews.json", folder + "/meta.json", base, "G", lexicon)
+    rejects = readers.read_table(spark, writers.stage_path(base, "rejects")).first()
+    assert (rejects.reviews, rejects.bad_rating, rejects.broken_reviews, rejects.broken_products) == (120, 0, 3, 1)
+    aside = readers.read_table(spark, writers.stage_path(base, "broken_reviews")).collect()
+    assert {r.broken for r in aside} == set(broken) and all(r.file.endswith("reviews.json") for r in aside)
+    assert [r.src for r in aside if r.broken == broken[2]] == ["u2"]  # what could be read
+    assert readers.read_table(spark, writers.stage_path(base, "edges")).where("src is null").isEmpty()
+    assert readers.read_reviews(spark, folder + "/reviews.json").count() == 130
+    assert readers.read_products(spark, folder + "/meta.json").count() == 20
+
+
+def jobs_of(spark, work):
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_counting_on_a_write_takes_no_job(spark, folder):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS s").repartition(5)
+    found = {}
+    plain = jobs_of(spark, lambda: writers.write_table(df, folder + "/plain"))
+    counted = jobs_of(spark, lambda: found.update(writers.write_counted(df, folder + "/counted", beliefs.unscored_counts())))
+    assert plain == counted and found == {"null_score": 0, "zero_score": 143}
+
+
+def test_rounds_left_by_a_crash_do_not_count(spark, folder, monkeypatch):
+    root, df = folder + "/rounds", spark.range(20).selectExpr("id", "id * 2 AS twice")
+    assert snapshots.last_iteration(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshots(spark, root)
+    for i in (9, 10):
+        snapshots.write_snapshot(df.where(F.col("id") < i), root, i)
+    # a round that was written in part, and one whose table is complete but not entered
+    Path(root, "iteration=11").mkdir()
+    Path(root, "iteration=11", "part-0.snappy.parquet").write_bytes(b"PAR1 half")
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots, "_commit", lambda *x: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            snapshots.write_snapshot(df, root, 12)
+    assert snapshots.last_iteration(spark, root) == 10
+    assert {r.iteration: r["count"] for r in snapshots.read_snapshots(spark, root).groupBy("iteration").count().collect()} == {9: 9, 10: 10}
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, root, 12)
+    for i in (11, 12):
+        snapshots.write_snapshot(df.where(F.col("id") < i), root, i)
+    assert {tuple(r) for r in snapshots.manifest(spark, root).collect()} == {(i, i) for i in (9, 10, 11, 12)}
+    assert snapshots.read_snapshot(spark, root, 11).dtypes == df.dtypes
+    with pytest.raises(FileExistsError):
+        snapshots.write_snapshot(df, root, 12)
+    snapshots.write_snapshot(df, root, 12, mode="overwrite")
+    assert snapshots.read_snapshot(spark, root, 12).count() == 20
+    with pytest.raises(ValueError):
+        snapshots.write_snapshot(df, root, 13, mode="append")
+
+
+def test_resume_after_a_crash_gives_the_same_labels(spark, files, folder, monkeypatch):
+    bases = [folder + "/one", folder + "/two"]
+    for base in bases:
+        prepared(spark, files, base, "G")
+    whole = pipeline.infer(spark, bases[0], 3, snapshot_dir=folder + "/a")
+    commit = snapshots._commit
+
+    def lost(spark, root, iteration, entry):
+        if iteration == 2:
+            raise OSError("lost")
+        commit(spark, root, iteration, entry)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots, "_commit", lost)
+        with pytest.raises(OSError):
+            pipeline.infer(spark, bases[1], 3, snapshot_dir=folder + "/b")
+    resumed = pipeline.infer(spark, bases[1], 3, start=None, snapshot_dir=folder + "/b")
+    assert snapshots.committed(spark, folder + "/b") == [1, 2, 3]
+    rows = lambda df: sorted((r.edge_id, r.label, round(r.fake, 9)) for r in df.collect())
+    assert rows(whole) == rows(resumed)
+    active = folder + "/three"
+    prepared(spark, files, active, "G")
+    assert rows(pipeline.infer(spark, active, 3, tolerance=0.0)) == rows(whole)
+
+
 def test_tables_are_not_overwritten_unasked(spark, folder):
     df = spark.range(10).withColumnRenamed("id", "k")
     path = folder + "/t"
