@@ -42,7 +42,7 @@ def run_lbp_active(
     report: list[tuple[int, str, int, int]] = []
     with staging(spark):
         state, place = _written(
-            beliefs._compact(edges).withColumns({c: F.lit(None).cast("double") for c in _SEEN.values()}), None
+            beliefs._compact(beliefs._sampled(edges, sampling, group_limit)).withColumns({c: F.lit(None).cast("double") for c in _SEEN.values()}), None
         )
         facts = state.agg(F.count(F.lit(1)).alias("n"), F.max("u_deg").alias("u_deg"), F.max("p_deg").alias("p_deg")).first()
         for i in range(1, iterations + 1):

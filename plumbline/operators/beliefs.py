@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import messages as msg
 from plumbline.operators.graph import heavy_ends
+from plumbline.operators.sampling import hash_position, mark_bottom_k
 from plumbline.plans.cutting import cut
 from plumbline.plans.skew import GROUP_LIMIT, add_group_sum, lookup_join
 from plumbline.sources.snapshots import read_snapshot, write_snapshot
@@ -36,18 +37,29 @@ BELIEFS = ["p_fraud", "p_honest", "p_bad", "p_good"]
 
 @dataclass(frozen=True)
 class Sampling:
-    """Opt-in: a vertex with ``max_deg`` or more edges hears only about ``sample_size``.
+    """Opt-in: a vertex with ``max_deg`` or more edges hears only ``sample_size`` of them.
 
-    An edge is kept when the hash of its id falls below ``sample_size / degree``, so
-    the same edges are kept in every iteration and on every run.
+    An edge is kept when the hash of its id falls below ``sample_size / degree``, which
+    gives about that many, or with ``exact`` when it is among the ``sample_size`` smallest of
+    its vertex. Either way the same edges are kept in every iteration and on every run.
     """
 
     max_deg: int = 1000
     sample_size: int = 500
+    exact: bool = False
 
-    def keeps(self, degree: Column) -> Column:
-        position = F.conv(F.substring(F.md5("edge_id"), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-        return (degree < self.max_deg) | (position < F.lit(float(self.sample_size)) / degree)
+    def prepare(self, edges: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+        """``edges`` with what :meth:`keeps` looks at; an exact sample is taken here."""
+        if self.exact:
+            for key, degree in (("src", "u_deg"), ("dst", "p_deg")):
+                edges = mark_bottom_k(edges, key, degree, self.max_deg, self.sample_size, f"_kept_{degree}", limit=limit)
+        return edges
+
+    def keeps(self, degree: str) -> Column:
+        """Whether the side with that degree column hears an edge."""
+        if self.exact:
+            return F.col(f"_kept_{degree}")
+        return (F.col(degree) < self.max_deg) | (hash_position() < F.lit(float(self.sample_size)) / F.col(degree))
 
 
 @dataclass(frozen=True)
@@ -168,7 +180,7 @@ def run_lbp(
     if iterations < 1:
         return edges
     columns = edges.columns
-    state = _compact(edges)
+    state = _compact(_sampled(edges, sampling, group_limit))
     facts = state.agg(
         F.max("u_deg").alias("u_deg"),
         F.max("p_deg").alias("p_deg"),
@@ -187,7 +199,7 @@ def run_lbp(
     if snapshot_dir is not None:
         for i in range(start, start + iterations):
             write_snapshot(_expand(iterate(state), columns), snapshot_dir, i)
-            state = _compact(read_snapshot(edges.sparkSession, snapshot_dir, i, edges.schema))
+            state = _compact(_sampled(read_snapshot(edges.sparkSession, snapshot_dir, i, edges.schema), sampling, group_limit))
         return _expand(state, columns)
 
     if facts["biased"]:
@@ -209,10 +221,12 @@ def node_beliefs(vertices: DataFrame, edges: DataFrame, sampling: Sampling | Non
     A vertex with a single review has no belief of its own (null).
     """
 
+    edges = _sampled(edges, sampling, GROUP_LIMIT)
+
     def heard(side: _Side, pair: list[str], kind: str) -> DataFrame:
         rows = edges.where(~F.col(side.single))
         if sampling is not None:
-            rows = rows.where(sampling.keeps(F.col(side.degree)))
+            rows = rows.where(sampling.keeps(side.degree))
         return rows.groupBy(F.col(side.key).alias("of")).agg(
             F.sum(msg.log_odds(F.col(pair[0]), F.col(pair[1]))).alias("evidence")
         ).select("of", F.lit(kind).alias("kind"), "evidence")
@@ -242,16 +256,20 @@ def unscored_edges(edges: DataFrame) -> DataFrame:
 
 
 def _single_half_step(edges, side, sign_mag_effect, sampling, group_limit):
-    state = _compact(edges)
+    state = _compact(_sampled(edges, sampling, group_limit))
     top = state.agg(F.max(side.degree)).first()[0] or 0
     stepped = _half_step(state, side, sign_mag_effect, sampling, group_limit, top > group_limit)
     return _expand(stepped, edges.columns)
 
 
+def _sampled(edges: DataFrame, sampling: Sampling | None, limit: int) -> DataFrame:
+    return edges if sampling is None else sampling.prepare(edges, limit)
+
+
 def _heard(side: _Side, sampling: Sampling | None) -> Column:
     """What an edge adds to the evidence of its vertex."""
     heard = F.when(F.col(side.single), 0.0).otherwise(F.coalesce(F.col(side.heard), F.lit(0.0)))
-    return heard if sampling is None else F.when(sampling.keeps(F.col(side.degree)), heard).otherwise(0.0)
+    return heard if sampling is None else F.when(sampling.keeps(side.degree), heard).otherwise(0.0)
 
 
 def _half_step(state, side, sign_mag_effect, sampling, group_limit, heavy):

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions import messages as msg
-from plumbline.operators import beliefs, components, fusion, graph, hits, merge, reports, scoring
+from plumbline.operators import active, beliefs, components, fusion, graph, hits, merge, reports, sampling, scoring
 from plumbline.operators.graph import Graph
 from plumbline.operators.numbering import number_rows
 from plumbline.operators.sentiment import lexicon_sentiment
@@ -291,6 +291,29 @@ def lbp_sampled(spark, folder):
     return _messages(beliefs.run_lbp(start, 1, sampling=beliefs.Sampling(max_deg=35, sample_size=15)))
 
 
+@query
+def lbp_sampled_exactly(spark, folder):
+    """One iteration in which a vertex of 35 or more edges hears exactly 15 of them."""
+    _, start = _belief_graph(_reviews(spark, folder))
+    return _messages(beliefs.run_lbp(start, 1, sampling=beliefs.Sampling(max_deg=35, sample_size=15, exact=True)))
+
+
+@query
+def bottom_k_sample(spark, folder):
+    """The 15 edges that a vertex of 35 or more edges hears."""
+    _, start = _belief_graph(_reviews(spark, folder))
+    users = sampling.bottom_k(start.where("u_deg >= 35"), "src", 15).select(F.col("src").alias("id"), "edge_id", "rank")
+    products = sampling.bottom_k(start.where("p_deg >= 35"), "dst", 15).select(F.col("dst").alias("id"), "edge_id", "rank")
+    return users.unionByName(products)
+
+
+@query
+def lbp_active(spark, folder):
+    """The same as ``lbp_iterate_sparse``, only vertices whose evidence moved being recomputed."""
+    _, start = _belief_graph(_offers(spark, folder))
+    return _messages(active.run_lbp_active(start, ITERATIONS)[0])
+
+
 @query
 def lbp_convergence(spark, folder):
     _, start = _belief_graph(_offers(spark, folder))

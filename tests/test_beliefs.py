@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -5,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.messages import NEGATIVE, POSITIVE
-from plumbline.operators import active, beliefs, graph, reports
+from plumbline.operators import active, beliefs, graph, reports, sampling
 from plumbline.plans import skew
+from plumbline.plans.cutting import cut
 from plumbline.sources.snapshots import last_iteration, read_snapshot, read_snapshots
 
 
@@ -186,7 +188,7 @@ def test_rows_without_a_heavy_flag_stay(spark):
     assert sorted((r.k, r.total) for r in summed.collect()) == [("a", 3.0), ("a", 3.0), ("b", 4.0), ("c", 8.0)]
 
 
-@pytest.mark.parametrize("options", [{}, {"group_limit": 20}, {"broadcast_ids": 0}, {"sampling": beliefs.Sampling(max_deg=10, sample_size=5)}])
+@pytest.mark.parametrize("options", [{}, {"group_limit": 20}, {"broadcast_ids": 0}, {"sampling": beliefs.Sampling(max_deg=10, sample_size=5, exact=True)}])
 def test_active_set_is_exact_without_tolerance(crowd, options):
     _, start = crowd
     plain = {k: v for k, v in options.items() if k != "broadcast_ids"}
@@ -223,3 +225,23 @@ def test_active_set_without_edges(crowd):
     untouched, none = active.run_lbp_active(start, 0)
     assert none.isEmpty()
     close(rows_of(untouched, *beliefs.MESSAGES), rows_of(start, *beliefs.MESSAGES))
+
+
+def test_hot_vertices_hear_exactly_k(crowd):
+    _, start = crowd
+    sample = beliefs.Sampling(max_deg=10, sample_size=4, exact=True)
+    marked = sample.prepare(start)
+    for key, degree in (("src", "u_deg"), ("dst", "p_deg")):
+        heard = marked.where(sample.keeps(degree)).groupBy(key, degree).count().collect()
+        assert heard and all(r["count"] == (4 if r[degree] >= 10 else r[degree]) for r in heard)
+        assert len(heard) == start.select(key).distinct().count()
+    picked = sampling.bottom_k(start, "dst", 4).where("rank = 1").collect()
+    first = {r.dst: min((hashlib.md5(x.edge_id.encode()).hexdigest()[:8], x.edge_id) for x in start.where(F.col("dst") == r.dst).collect())[1] for r in picked[:3]}
+    assert {r.dst: r.edge_id for r in picked if r.dst in first} == first
+    # groups are cut to k rows before they are shuffled
+    plan = sampling.bottom_k(cut(start), "dst", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    salted = beliefs.run_lbp(start, 2, sampling=sample, group_limit=20)
+    close(rows_of(beliefs.run_lbp(start, 2, sampling=sample), *beliefs.MESSAGES), rows_of(salted, *beliefs.MESSAGES))
+    with pytest.raises(ValueError, match="k must"):
+        sampling.bottom_k(start, "dst", 0)
