@@ -16,6 +16,7 @@ from plumbline.operators.merge import merge_categories
 from plumbline.operators.scoring import rejected_counts, repair_zero_compound, review_score
 from plumbline.operators.sentiment import lexicon_sentiment
 from plumbline.plans.cutting import stage, staging
+from plumbline.sources.clustered import read_clustered, write_clustered
 from plumbline.sources.readers import broken_lines, read_products, read_reviews, read_table, watched
 from plumbline.sources.snapshots import last_iteration, read_snapshot
 from plumbline.sources.writers import stage_path, write_counted, write_table
@@ -70,7 +71,7 @@ def prepare(
         if boost:
             belief_vertices, belief_edges = boost_priors(belief_vertices, belief_edges, stage(repeat_reviews(enriched), "repeats"))
         write_table(belief_vertices, stage_path(base, "belief_vertices"))
-        write_table(belief_edges, stage_path(base, "belief_edges"))
+        write_clustered(stage(belief_edges, "belief-edges"), stage_path(base, "belief_edges"), "src")
         for name, watch, read, path in (
             ("broken_reviews", review_watch, read_reviews, reviews_path),
             ("broken_products", product_watch, read_products, products_path),
@@ -92,7 +93,7 @@ def merge(spark: SparkSession, parts: list[tuple[str, str]], base: str) -> None:
         edge_parts = [read_table(spark, stage_path(b, "belief_edges")) for b, _ in parts]
         vertices, edges = merge_categories(vertex_parts, edge_parts)
         write_table(vertices, stage_path(base, "belief_vertices"))
-        write_table(edges, stage_path(base, "belief_edges"), cluster_by=("src", "edge_id"))
+        write_clustered(stage(edges, "belief-edges"), stage_path(base, "belief_edges"), "src")
 
 
 def infer(
@@ -116,7 +117,7 @@ def infer(
         iterations = max(iterations - start + 1, 0)
     with staging(spark):
         vertices = read_table(spark, stage_path(base, "belief_vertices"))
-        edges = read_table(spark, stage_path(base, "belief_edges"))
+        edges = read_clustered(spark, stage_path(base, "belief_edges"))
         if start > 1:
             edges = read_snapshot(spark, snapshot_dir, start - 1, edges.schema)
         if tolerance is not None:

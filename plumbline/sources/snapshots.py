@@ -11,12 +11,10 @@ round's row count, observed on the write itself, and its schema.
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from plumbline.plans.cutting import remove
+from plumbline.sources.entries import place, read_entry, write_entry
 
 COLUMN = "iteration"
 MANIFEST = "_rounds"  # readers of the tables pass over names with an underscore
@@ -30,12 +28,6 @@ def _entry(root: str, iteration: int) -> str:
     return f"{root.rstrip('/')}/{MANIFEST}/{iteration}.json"
 
 
-def _place(spark: SparkSession, path: str):
-    """The path and its file system, whichever it is."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def write_snapshot(df: DataFrame, root: str, iteration: int, mode: str = "errorifexists") -> None:
     """Write one round and enter it in the manifest.
 
@@ -55,21 +47,12 @@ def write_snapshot(df: DataFrame, root: str, iteration: int, mode: str = "errori
 
 
 def _commit(spark: SparkSession, root: str, iteration: int, entry: dict) -> None:
-    """Put an entry in place as a whole or not at all."""
-    goal, system = _place(spark, _entry(root, iteration))
-    draft, _ = _place(spark, f"{_entry(root, iteration)}.{uuid.uuid4().hex}.draft")
-    out = system.create(draft, True)
-    try:
-        out.write(bytearray(json.dumps(entry).encode()))
-    finally:
-        out.close()
-    if not system.rename(draft, goal):
-        raise OSError(f"could not enter round {iteration} in the manifest of {root}")
+    write_entry(spark, _entry(root, iteration), entry)
 
 
 def committed(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the finished rounds in ascending order; no table is opened for it."""
-    folder, system = _place(spark, f"{root.rstrip('/')}/{MANIFEST}")
+    folder, system = place(spark, f"{root.rstrip('/')}/{MANIFEST}")
     if not system.exists(folder):
         return []
     names = [status.getPath().getName() for status in system.listStatus(folder)]
@@ -85,7 +68,7 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 def _read_entry(spark: SparkSession, root: str, iteration: int) -> dict:
     if iteration not in committed(spark, root):
         raise FileNotFoundError(f"no finished round {iteration} in {root}")
-    return json.loads(spark.read.text(_entry(root, iteration), wholetext=True).first()[0])
+    return read_entry(spark, _entry(root, iteration))
 
 
 def read_snapshot(spark: SparkSession, root: str, iteration: int, schema: T.StructType | None = None) -> DataFrame:

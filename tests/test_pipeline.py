@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import beliefs, fusion, graph, reports
 from plumbline.plans import cutting, pipeline
-from plumbline.sources import readers, snapshots, writers
+from plumbline.sources import clustered, readers, snapshots, writers
 
 
 @pytest.fixture(scope="module")
@@ -135,6 +135,32 @@ def test_broken_lines_are_set_aside(spark, files, folder):
     assert readers.read_products(spark, folder + "/meta.json").count() == 20
 
 
+def test_clustered_edges_save_an_exchange(spark, files, folder):
+    base = folder + "/games"
+    prepared(spark, files, base, "G")
+    path = writers.stage_path(base, "belief_edges")
+    shuffles = {}
+    for name, edges in (("plain", readers.read_table(spark, path)), ("clustered", clustered.read_clustered(spark, path))):
+        step = beliefs.product_to_user(beliefs.user_to_product(edges))
+        shuffles[name] = step._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert edges.count() == 120 and step.count() == 120
+    assert shuffles == {"plain": 2, "clustered": 1}
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(clustered.read_clustered(spark, path)) == rows(readers.read_table(spark, path))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("clustered_")]
+
+
+def test_tables_with_a_heavy_key_are_not_clustered(spark, folder):
+    df = spark.range(100).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS k", "id AS v")
+    with_quote = folder + "/it's"
+    assert clustered.write_clustered(df, with_quote, "k", buckets=3)
+    assert clustered.read_clustered(spark, with_quote).agg(F.sum("v"), F.count("k")).first() == (4950, 66)
+    assert not clustered.write_clustered(df, folder + "/plain", "k", limit=20)  # the rows without a key
+    assert clustered.read_clustered(spark, folder + "/plain").count() == 100
+    with pytest.raises(FileExistsError):
+        clustered.write_clustered(df, with_quote, "k")
+
+
 def jobs_of(spark, work):
     group = f"jobs-{random.random()}"
     spark.sparkContext.setJobGroup(group, "counted")
