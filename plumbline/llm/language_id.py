@@ -139,7 +139,8 @@ def train(labelled: DataFrame, text: str, lang: str, doc_id: str, rows_per_langu
     """A model from the rows of ``labelled`` that have text and language.
 
     All rows are counted; of a language with more than ``rows_per_language``, about so
-    many are taken by a hash of id and text, so a retried task takes the same ones.
+    many are taken by a hash of id and language, so a retried task takes the same ones;
+    rows that share both are taken or left together.
     """
     rows = labelled.select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")
