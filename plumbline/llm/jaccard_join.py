@@ -183,15 +183,17 @@ def _only(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 
 def _postings(keyed: DataFrame, total: int) -> DataFrame:
+    """``token``, ``cid``, ``n``, ``k`` of all prefix shingles that more than one class has, staged."""
     counters = _frequencies(keyed, total)
     mean = float(counters.mean())
     shared = keyed.sparkSession.sparkContext.broadcast(counters)
-    prefixes = stage(_prefixes(keyed, shared, mean + 4.0 * np.sqrt(mean) + 1.0), "prefixes")
-    rows = prefixes.select("cid", "n", "k", F.explode("tokens").alias("token"))
-    # a shingle of one class has one name for it: other than count(distinct), this combines on the map side
-    spread = rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
-    common = stage(spread.where("low < high").select("token"), "tokens")
-    return stage(_only(rows, common, "token").distinct(), "postings")
+    with staging(keyed.sparkSession):
+        prefixes = stage(_prefixes(keyed, shared, mean + 4.0 * np.sqrt(mean) + 1.0), "prefixes")
+        rows = prefixes.select("cid", "n", "k", F.explode("tokens").alias("token"))
+        # a shingle of one class has one name for it: other than count(distinct), this combines on the map side
+        spread = rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"))
+        common = stage(spread.where("low < high").select("token"), "tokens")
+        return stage(_only(rows, common, "token").distinct(), "postings", outer=True)
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -205,9 +207,17 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return met.where("met >= k").select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Those of the pairs of classes whose sets are similar enough."""
-    pairs = stage(pairs, "pairs")
+def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, repeats: bool) -> DataFrame:
+    """Those of the staged pairs of classes whose sets are similar enough, staged.
+
+    ``repeats`` tells whether rows of ``keyed`` share a key; if none do, a class gives one
+    set as it is, and the sets are not shuffled to see to that.
+    """
+    with staging(keyed.sparkSession):
+        return stage(_similar(pairs, classes, keyed, repeats), "links", outer=True)
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, repeats: bool) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     keys = stage(classes.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("key").alias("key")).select("key"), "keys")
 
@@ -221,7 +231,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["cid", "members"])
 
     chosen = _only(keyed, keys, "key").select("text").mapInArrow(emit, "cid bigint, members binary")
-    sets = stage(chosen.dropDuplicates(["cid"]), "sets")
+    sets = stage(chosen.dropDuplicates(["cid"]) if repeats else chosen, "sets")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def wide(members: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +254,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFra
 
     first = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
     second = first.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
-    return stage(second.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint"), "links")
+    return second.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -256,28 +266,32 @@ def _groups(links: DataFrame) -> DataFrame:
 
 def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between classes that connect all that are similar enough."""
+    spark = keyed.sparkSession
     total = classes.agg(F.sum("n")).first()[0] or 0
-    postings = _postings(keyed, total)
+    repeats = not classes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty()
     member = lambda salt: F.min(F.struct(F.xxhash64("cid", F.lit(salt)).alias("h"), "cid", "n", "k"))
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"), member(1).alias("l1"), member(2).alias("l2"))
-    # staged, here and below: two tables meet in exchanges of their own, which Spark splits where a key is hot
-    lists = stage(lists, "lists")
-    led = stage(postings.join(lists, "token").select(
-        "token", "cid", "n", "k", (F.col("members") > crowd).alias("crowded"), "l1", "l2"
-    ), "led")
+    with staging(spark):  # what a phase staged goes as soon as its result is written
+        postings = _postings(keyed, total)
+        lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("members"), member(1).alias("l1"), member(2).alias("l2"))
+        # staged, here and below: two tables meet in exchanges of their own, which Spark splits where a key is hot
+        lists = stage(lists, "lists")
+        led = stage(postings.join(lists, "token").select(
+            "token", "cid", "n", "k", (F.col("members") > crowd).alias("crowded"), "l1", "l2"
+        ), "led", outer=True)
     star = led.where("crowded").select("cid", "n", "k", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l"))
     star = star.where((F.col("cid") != F.col("l.cid")) & _fits(F.col("n"), F.col("l.n")))
     star = star.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b"), F.least("k", "l.k").alias("k"))
-    links = _verified(_enough(star), classes, keyed)
+    links = _verified(stage(_enough(star), "pairs"), classes, keyed, repeats)
     # classes that the leaders connect already carry one label, and only other pairs are left to make
     labels = stage(_groups(links), "labels")
     own, lead = (labels.select(F.col("cid").alias(f"{c}_cid"), F.col("component").alias(f"{c}_label")) for c in ("own", "lead"))
     known = led.join(own, F.col("cid") == F.col("own_cid"), "left").join(lead, F.col("l1.cid") == F.col("lead_cid"), "left")
     label = F.coalesce("own_label", "cid")
     known = known.select("token", "cid", "n", "k", label.alias("label"), (label == F.coalesce("lead_label", "l1.cid")).alias("leading"))
-    known = stage(known, "known")
-    more = _verified(_partners(known).join(links, ["a", "b"], "left_anti"), classes, keyed)
-    return links.union(more)
+    with staging(spark):
+        partners = _partners(stage(known, "known"))
+        pairs = stage(partners.join(links, ["a", "b"], "left_anti"), "pairs", outer=True)
+    return links.union(_verified(pairs, classes, keyed, repeats))
 
 
 def _partners(known: DataFrame) -> DataFrame:
