@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
 from plumbline.operators.forests import contract
@@ -32,9 +32,9 @@ def connected_components(
     Ids that are no whole numbers stand as 64-bit hashes, which are checked to be
     distinct, or else as numbers in their order. Every partition of the edges is
     contracted to a forest of stars where it lies, so only forest links are shuffled. What
-    is then left, if it has at most ``one_task`` links, is contracted in one task; beyond
-    that, star rounds settle it (:func:`_star_rounds`). Names come back in the end: the
-    smallest id of a component, joined to its members.
+    is then left is shrunk round by round (:func:`_shrunk`) until it has at most ``one_task``
+    links, which one task contracts. Names come back in the end: the smallest id of a
+    component, joined to its members.
     """
     if isinstance(edges.schema["src"].dataType, IntegralType):
         ids = vertices.select("id").distinct()
@@ -72,11 +72,48 @@ def _number(name: str) -> Column:
 
 
 def _settled(edges: DataFrame, group_limit: int, one_task: int) -> DataFrame:
-    """[child, parent] of every id that is not its component's smallest, with that one."""
-    links = cut(contract(undirected(edges, distinct=False)))
-    if links.count() <= one_task:
-        return cut(contract(links.repartition(1)))
-    return _star_rounds(cut(links.distinct()), group_limit)
+    """[child, parent] of every id that is not its component's smallest, with that one.
+
+    Rounds that shrink the graph go on while each takes a quarter of the links at least;
+    should one take less, star rounds settle what is left.
+    """
+    links = stage(contract(undirected(edges, distinct=False)), "links")
+    n, before, steps = links.count(), None, []
+    while n > one_task and (before is None or 4 * n <= 3 * before):
+        step, links = _shrunk(links, group_limit)
+        steps.append(step)
+        n, before = links.count(), n
+    found = stage(contract(links.repartition(1)), "found") if n <= one_task else _star_rounds(cut(links.distinct()), group_limit)
+    for step in reversed(steps):
+        found = stage(_followed(step, found, group_limit), "found")
+    return found
+
+
+def _shrunk(links: DataFrame, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """[child, low], every child's smallest parent, and the links between those.
+
+    All ends move to their smallest parent, if they have one. Two ids are connected after
+    that if and only if they were before, and a component's smallest id stays where it is, so a
+    component that has come together leaves no links. Nobody's smallest parent is left
+    out, so fewer ids remain each time, unlike in star rounds, which shuffle all of them to the end.
+    """
+    around = Window.partitionBy("child").orderBy("parent")
+    ranked = links.select("child", "parent", F.first("parent").over(around).alias("low"), F.row_number().over(around).alias("rank"))
+    ranked = stage(ranked.select("child", "parent", "low", (F.col("rank") == 1).alias("lowest")), "ranked")
+    step = ranked.where("lowest").select("child", "low")
+    lower = step.select(F.col("child").alias("of"), F.col("low").alias("to"))
+    moved = lookup_join(ranked.select("low", "parent"), lower, "parent", "of", "left", limit=group_limit)
+    ends = moved.select(F.col("low").alias("src"), F.coalesce("to", "parent").alias("dst"))
+    return step, stage(contract(undirected(ends, distinct=False)), "links")
+
+
+def _followed(step: DataFrame, found: DataFrame, group_limit: int) -> DataFrame:
+    """[child, parent] before a step, from those found after it."""
+    after = found.select(F.col("child").alias("of"), F.col("parent").alias("to"))
+    moved = lookup_join(step, after, "low", "of", "left", limit=group_limit)
+    # a smallest parent with no smaller one is in no step, but can have been linked to one later
+    unmoved = found.join(step.select("child"), "child", "left_anti")
+    return moved.select("child", F.coalesce("to", "low").alias("parent")).unionByName(unmoved)
 
 
 def _star_rounds(links: DataFrame, group_limit: int) -> DataFrame:

@@ -134,6 +134,23 @@ def test_forests_save_rounds(spark, monkeypatch):
     assert 2 * count(forests.contract(components.undirected(stretches, distinct=False)).distinct()) <= count(plain)
 
 
+def test_rounds_shrink_the_graph(spark, monkeypatch):
+    """Every round leaves fewer links, so no round shuffles all of them again."""
+    n = 6000
+    links, root = sparse_graph(n, 7000, 11)
+    edges = spark.createDataFrame(links, "src long, dst long").repartition(8)
+    left = []
+    shrunk = components._shrunk
+    monkeypatch.setattr(components, "_shrunk", lambda *x: left.append(x[0].count()) or shrunk(*x))
+    monkeypatch.setattr(components, "_star_rounds", lambda *x: pytest.fail("the rounds did not settle the graph"))
+    for limit in (1_000_000, 3):
+        left.clear()
+        found = components.connected_components(spark.range(n), edges, group_limit=limit, one_task=50)
+        assert labels(found) == dict(enumerate(root))
+        assert left and all(4 * after <= 3 * before for before, after in zip(left, left[1:]))
+        assert sum(left) <= 3 * left[0]
+
+
 def test_many_forests_from_one_partition(spark, monkeypatch):
     links, root = sparse_graph(120, 700, 2)
     monkeypatch.setattr(forests, "TASK_LINKS", 100)
