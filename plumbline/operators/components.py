@@ -9,7 +9,7 @@ from plumbline.operators.forests import contract
 from plumbline.operators.graph import Graph, heavy_ends
 from plumbline.operators.numbering import number_rows
 from plumbline.plans.cutting import cut, stage
-from plumbline.plans.skew import GROUP_LIMIT, heavy_among, if_any, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, HEAVY_KEY, heavy_among, if_any, lookup_join
 
 
 #: Links that one task may contract at the end (16 bytes each).
@@ -59,12 +59,20 @@ def connected_components(
     members = names.join(links, F.col("number") == F.col("child"), "left").select(
         "id", "listed", F.coalesce("parent", "number").alias("root")
     )
-    members = stage(members, "members")
-    named = members.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
-    named = stage(named.where("size > 1"), "components")  # all other ids are components of their own
-    heavy = if_any(heavy_among(named, "root", "size", group_limit))
-    found = lookup_join(members, named.drop("size"), "root", "root", "left", spread=["id"], heavy=heavy)
-    return found.where("listed").select("id", F.coalesce("component", "id").alias("component"))
+    return _named(members, links, group_limit).where("listed").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _named(members: DataFrame, links: DataFrame, group_limit: int) -> DataFrame:
+    """``members`` with the smallest id of their root; they are shuffled once, those of large components not at all."""
+    smallest = F.min("id").over(Window.partitionBy("root"))
+    heavy = if_any(cut(heavy_among(links.groupBy("parent").agg(F.count(F.lit(1)).alias("size")), "parent", "size", group_limit)))
+    if heavy is None:
+        return members.withColumn("component", smallest)
+    marked = stage(members.join(F.broadcast(heavy), F.col("root") == F.col(HEAVY_KEY), "left").drop("_salts"), "members")
+    crowded = marked.where(F.col(HEAVY_KEY).isNotNull())
+    names = crowded.groupBy(F.col("root").alias("of")).agg(F.min("id").alias("component"))
+    crowded = crowded.join(F.broadcast(names), F.col("root") == F.col("of")).drop("of")
+    return marked.where(F.col(HEAVY_KEY).isNull()).withColumn("component", smallest).unionByName(crowded)
 
 
 def _number(name: str) -> Column:

@@ -258,6 +258,16 @@ def test_build_graph(spark):
     assert {(r.edge_id, r.src, r.dst) for r in g.edges.collect()} == {("x1", "u1", "p2"), ("x2", "u2", "p1"), ("x3", "u1", "p1")}
 
 
+def test_keys_are_only_counted_where_one_may_be_heavy(spark, monkeypatch):
+    rows = spark.createDataFrame([(None,), ("a",)] + [("b",)] * 9 + [(f"c{i}",) for i in range(40)], "k string")
+    assert [r[skew.HEAVY_KEY] for r in skew.heavy_if_any(rows, "k", 8).collect()] == ["b"]
+    assert skew.heavy_if_any(rows, "k", 8, buckets=1).count() == 1
+    assert skew.heavy_if_any(rows, "k", 9, buckets=1) is None
+    monkeypatch.setattr(skew, "heavy_keys", lambda *x: pytest.fail("keys were shuffled"))
+    assert skew.heavy_if_any(rows, "k", 20) is None
+    assert skew.heavy_if_any(rows.limit(0), "k", 20) is None
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, how):
     rows = spark.createDataFrame([(f"k{0 if i % 3 else i % 20}", i) for i in range(300)], "k string, i int")
