@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions import valence as v
 from plumbline.functions.scoring import stronger_side
 from plumbline.plans.cutting import cut, stage
-from plumbline.plans.skew import GROUP_LIMIT, heavy_keys, if_any, lookup_join
+from plumbline.plans.skew import GROUP_LIMIT, heavy_among, if_any, lookup_join
 
 MAX_BROADCAST_LEXICON = 1_000_000
 
@@ -33,34 +33,79 @@ def lexicon_sentiment(
 
     ``lexicon`` is [token, valence] with lower-case tokens; of a token listed more than
     once the lowest valence counts. Up to
-    ``max_broadcast`` of them are broadcast; a larger lexicon is shuffled, with
-    frequent words salted. A null text counts as empty.
+    ``max_broadcast`` of them are broadcast. Of a larger lexicon that is what is known of
+    the most frequent words, and only the others are shuffled, heavy ones salted. A null
+    text counts as empty.
     """
     valence = F.min(F.col("valence").cast("double")).alias("_valence")
     lexicon = stage(lexicon.groupBy(F.col("token").alias("_token")).agg(valence), "tokens")
-    small = lexicon.count() <= max_broadcast
-
-    def meet(rows: DataFrame, word: str, found: str) -> DataFrame:
+    if lexicon.count() <= max_broadcast:
+        frequent, heavy, whole = lexicon, None, True
+    else:
+        frequent, heavy = _frequent(texts, text_col, lexicon, max_broadcast, group_limit)
+        whole = False
+
+    def known(rows: DataFrame, word: str, found: str) -> DataFrame:
+        """``found`` as the broadcast table has it, and ``_rare`` where that does not list the word."""
+        table = frequent.select("_token", F.col("_valence").alias(found), F.lit(True).alias("_listed"))
+        met = rows.join(F.broadcast(table), F.col(word) == F.col("_token"), "left")
+        rare = F.lit(False) if whole else F.col(word).isNotNull() & F.col("_listed").isNull()
+        return met.withColumn("_rare", rare).drop("_token", "_listed")
+
+    def sought(rows: DataFrame, word: str, found: str) -> DataFrame:
+        """The same with ``found`` looked up for rare words as well."""
+        if whole:
+            return rows.drop("_rare")
+        common = rows.where(~F.col("_rare")).drop("_rare")
+        rare = rows.where("_rare").drop("_rare", found)
         table = lexicon.withColumnRenamed("_valence", found)
-        if small:
-            return rows.join(F.broadcast(table), F.col(word) == F.col("_token"), "left").drop("_token")
-        return lookup_join(rows, table, word, "_token", "left", spread=[id_col, "_at"], heavy=heavy)
+        return common.unionByName(lookup_join(rare, table, word, "_token", "left", spread=[id_col, "_at"], heavy=heavy))
 
     words = _words_in_context(texts, id_col, text_col)
-    # a word precedes others at most as often as it occurs, so one count serves all joins
-    heavy = None if small else if_any(cut(heavy_keys(words, "_word", group_limit)))
     modifier = v.is_modifier(F.col("_word"), F.col("_after_1"))
     # every text keeps its header row (no word), so texts without a hit survive
-    found = meet(words, "_word", "_base").where(F.col("_word").isNull() | (F.col("_base").isNotNull() & ~modifier))
-    hits = stage(found.withColumn("_word", F.when(F.col("_in_reach"), F.col("_word"))), "hits")
-    plain, changed = hits.where(~F.col("_in_reach")), hits.where("_in_reach")
+    hit = F.col("_word").isNull() | (F.col("_base").isNotNull() & ~modifier)
+    kept = F.when(F.col("_in_reach") | F.col("_rare"), F.col("_word"))
+    hits = known(words, "_word", "_base").where(F.col("_rare") | hit)
+    if whole:
+        hits = stage(hits.withColumn("_word", kept).drop("_rare"), "hits")
+        plain, changed = hits.where(~F.col("_in_reach")), hits.where("_in_reach")
+    else:
+        hits = stage(hits.withColumns({"_word": kept, "_header": F.col("_word").isNull()}), "hits")
+        hit = F.col("_header") | (F.col("_base").isNotNull() & F.coalesce(~modifier, F.lit(True)))
+        hits = sought(hits, "_word", "_base").where(hit).drop("_header")
+        plain = hits.where(~F.col("_in_reach"))
+        changed = stage(hits.where("_in_reach"), "reached")
     for k in (1, 2, 3):
-        changed = meet(changed, f"_before_{k}", f"_known_{k}")
+        changed = known(changed, f"_before_{k}", f"_known_{k}")
+        changed = sought(changed if whole else stage(changed, "known"), f"_before_{k}", f"_known_{k}")
     columns = [id_col, "_size", "_emphasis", "_value"]
     weighed = _weighed(plain.withColumn("_value", _shouted_base())).select(*columns)
     return _per_text(weighed.unionByName(_weighed(_with_rules(changed)).select(*columns)), id_col)
 
 
+def _frequent(
+    texts: DataFrame, text_col: str, lexicon: DataFrame, most: int, group_limit: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """[_token, _valence] of up to ``most`` words of the texts that occur most often, and the heavy ones of the others.
+
+    A word without a valence is listed with null. Words are counted once, and those from the
+    lowest power of two on that not more than ``most`` words reach are taken.
+    """
+    tokens = texts.select(F.explode(F.transform(v.words(F.coalesce(text_col, F.lit(""))), F.lower)).alias("_token"))
+    counts = stage(tokens.groupBy("_token").agg(F.count(F.lit(1)).alias("_rows")), "counts")
+    power = F.floor(F.log2("_rows")).cast("int")
+    sizes = {row[0]: row[1] for row in counts.groupBy(power).count().collect()}  # 63 rows at most
+    least, taken = max(sizes, default=0) + 1, 0
+    while least and taken + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        taken += sizes.get(least, 0)
+    frequent = counts.where(power >= least).drop("_rows").join(lexicon, "_token", "left")
+    # a word precedes others at most as often as it occurs, so one count serves all lookups
+    heavy = if_any(cut(heavy_among(counts.where(power < least), "_token", "_rows", group_limit))) if 1 << least > group_limit else None
+    return stage(frequent, "frequent"), heavy
+
+
 def _words_in_context(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw, lower, signal = F.col("_tokens"), F.col("_lower"), F.col("_signals")
     near = [f"_raw_before_{k}" for k in (1, 2, 3)] + [f"_before_{k}" for k in (1, 2, 3)] + [f"_after_{k}" for k in (1, 2)]

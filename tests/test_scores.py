@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import buckets, masses
 from plumbline.functions.scoring import signed_score
-from plumbline.operators import beliefs, fusion, graph, scoring
+from plumbline.operators import beliefs, fusion, graph, scoring, sentiment
 from plumbline.operators.sentiment import lexicon_sentiment
 
 REVIEW = "overall double, vote string, compound double"
@@ -91,6 +91,18 @@ def test_published_sentiments(spark, broadcast):
     assert all(abs(m.neg + m.neu + m.pos - 1) < 0.002 for m in moods[:-1])
 
 
+def test_only_rare_words_of_a_large_lexicon_are_shuffled(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"{t} good bad") for i, t in enumerate([*PUBLISHED, *["good not bad"] * 40])], "i int, text string")
+    words = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    expected = sorted(map(tuple, lexicon_sentiment(texts, "i", "text", words).collect()))
+    met = []
+    join = sentiment.lookup_join
+    monkeypatch.setattr(sentiment, "lookup_join", lambda rows, *x, **y: met.append(rows.select(x[1]).collect()) or join(rows, *x, **y))
+    found = lexicon_sentiment(texts, "i", "text", words, max_broadcast=4, group_limit=5)
+    assert sorted(map(tuple, found.collect())) == expected
+    assert met and not {w for rows in met for (w,) in rows} & {"good", "bad", "not"}
+
+
 def test_null_text_is_empty(spark):
     texts = spark.createDataFrame([(1, None)], "i int, text string")
     words = spark.createDataFrame([("good", 1.9)], "token string, valence double")
