@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import Graph
-from plumbline.operators import components, forests, graph, hits, merge
+from plumbline.operators import components, forests, graph, hits, merge, numbering
 from plumbline.operators.numbering import number_rows
 from plumbline.plans import skew
 from plumbline.sources.snapshots import read_snapshots
@@ -243,6 +243,18 @@ def test_numbers_are_gapless_and_ordered(spark):
     assert [(r.t, r.name) for r in got] == sorted(rows)
 
 
+def test_equal_rows_are_numbered_once_with_one_shuffle(spark, monkeypatch):
+    rows = [(i % 40, None if i % 7 == 0 else f"{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    plans = []
+    stage = numbering.stage
+    monkeypatch.setattr(numbering, "stage", lambda d, name: plans.append(d._jdf.queryExecution().executedPlan().toString()) or stage(d, name))
+    found = [(r.n, r.a, r.b) for r in number_rows(df, ["a", "b"], "n", distinct=True).orderBy("n").collect()]
+    distinct = sorted(set(rows), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    assert found == [(i, *r) for i, r in enumerate(distinct, 1)]
+    assert [p.count("Exchange ") for p in plans] == [1]
+
+
 def test_build_graph(spark):
     row = "src string, dst string, overall double, reviewer_name string, unix_review_time long"
     reviews = spark.createDataFrame(
