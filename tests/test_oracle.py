@@ -21,3 +21,13 @@ def test_every_query_has_a_twin():
 @pytest.mark.parametrize("name", contract.oracle_sql())
 def test_query(spark, name):
     assert difference(spark, FOLDER, name) is None
+
+
+def test_degrees_of_a_category_are_counted_once(spark, monkeypatch):
+    staged = []
+    keep = catalog.stage
+    monkeypatch.setattr(catalog, "stage", lambda df, name: staged.append(name) or keep(df, name))
+    monkeypatch.setattr(catalog, "_scored", lambda *x: pytest.fail("edges were joined with degrees that nobody reads"))
+    vertices, edges = catalog._by_category(catalog._reviews(spark, FOLDER))
+    assert len(vertices) == len(edges) == len(catalog.CATEGORIES)
+    assert staged.count("degrees") == len(catalog.CATEGORIES)
