@@ -8,7 +8,14 @@ that share enough must share at least k of their first ``n - ceil(t n) + k`` shi
 (their k-prefixes), for every k. A longer prefix costs index rows but lets one demand
 more shared shingles before anything is verified. Each document picks its own k by
 estimated cost: the number of documents that its prefix shingles lead to, divided by k,
-against the rows of the prefix. A pair must share the smaller k of the two.
+against the rows of the prefix. Only one that leads to very many takes a k above
+``PLAIN_MOST``, so that members of a large group are told apart by counting, without a
+row for each pair of them.
+
+What a pair must share follows from both sizes: similar sets share at least
+``a = ceil(t (n1 + n2) / (1 + t))`` shingles. The i-th of them lies among the first
+``n - a + i`` of either set, so at least ``a`` less the longer of the two rests after the
+prefixes are in both prefixes. That is never less than the smaller k.
 
 Frequencies come from a sketch of all documents: counters of a fixed number, summed over
 tasks. It only sets the order and the choice of k; no pair depends on its accuracy.
@@ -48,7 +55,9 @@ PER_COUNTER, LEAST_BITS, MOST_BITS = 128, 16, 24
 BLOCKS = 64
 #: Cost of verifying a candidate, in index rows.
 VERIFY_COST = 20.0
-CHOICES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32], np.int64)
+CHOICES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024], np.int64)
+#: Choices above this are for sets that still lead to more than ``HOT`` candidates by estimate.
+PLAIN_MOST, HOT = 32, 128
 
 #: A-Z to a-z and white space to spaces; all else stays.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -147,8 +156,12 @@ def prefix_lengths(excess: np.ndarray) -> tuple[int, int]:
     needed = -(-NUMERATOR * n // DENOMINATOR)
     choices = CHOICES[CHOICES <= needed]
     lengths = n - needed + choices
-    cost = np.cumsum(excess)[lengths - 1] / choices * VERIFY_COST + lengths
-    best = int(cost.argmin())
+    candidates = np.cumsum(excess)[lengths - 1] / choices
+    cost = candidates * VERIFY_COST + lengths
+    plain = int((choices <= PLAIN_MOST).sum())
+    best = int(cost[:plain].argmin())
+    if candidates[best] > HOT:
+        best = int(cost.argmin())
     return int(choices[best]), int(lengths[best])
 
 
@@ -201,8 +214,16 @@ def _fits(a: Column, b: Column) -> Column:
     return (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
 
 
+def _must_share(n: Column, k: Column, other_n: Column, other_k: Column) -> Column:
+    """Shingles that the prefixes of two sets must share if the sets are similar enough."""
+    both = NUMERATOR + DENOMINATOR
+    overlap = F.floor((NUMERATOR * (n + other_n) + (both - 1)) / F.lit(both))
+    slack = [F.floor((NUMERATOR * size + (DENOMINATOR - 1)) / F.lit(DENOMINATOR)) - own for size, own in ((n, k), (other_n, other_k))]
+    return F.greatest(overlap - F.greatest(*slack), F.least(k, other_k)).cast("bigint")
+
+
 def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share as many prefix shingles as the smaller k."""
+    """Pairs (a, b) that share as many prefix shingles as they must (``k``)."""
     met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("k").alias("k"))
     return met.where("met >= k").select("a", "b")
 
@@ -280,7 +301,7 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
         ), "led", outer=True)
     star = led.where("crowded").select("cid", "n", "k", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l"))
     star = star.where((F.col("cid") != F.col("l.cid")) & _fits(F.col("n"), F.col("l.n")))
-    star = star.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b"), F.least("k", "l.k").alias("k"))
+    star = star.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b"), _must_share(F.col("n"), F.col("k"), F.col("l.n"), F.col("l.k")).alias("k"))
     links = _verified(stage(_enough(star), "pairs"), classes, keyed, repeats)
     # classes that the leaders connect already carry one label, and only other pairs are left to make
     labels = stage(_groups(links), "labels")
@@ -289,75 +310,82 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
     label = F.coalesce("own_label", "cid")
     known = known.select("token", "cid", "n", "k", label.alias("label"), (label == F.coalesce("lead_label", "l1.cid")).alias("leading"))
     with staging(spark):
-        partners = _partners(stage(known, "known"))
+        partners = _partners(stage(known, "known"), sized=True)
         pairs = stage(partners.join(links, ["a", "b"], "left_anti"), "pairs", outer=True)
     return links.union(_verified(pairs, classes, keyed, repeats))
 
 
-def _partners(known: DataFrame) -> DataFrame:
+def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
     """Pairs (a, b) of different labels that share enough prefix shingles.
 
+    Enough is the smaller k, or with ``sized``, which takes the shingles of a class to be the
+    prefix of its k, what sets of the two sizes must share.
+
     A class that is not connected with a list's leader meets the list packed, in parts of
     about ``PART`` members by a hash of the member, so that its lists are counted together
     in memory. Of the lists a pair shares, either class sees those in which it is not
     leading itself. The class with the smaller id counts all that it sees, the other one
     those that only it sees, and the two counts are added. A count becomes a row only if
-    the pair can reach the smaller k: the lists a class does not see are at most those
+    the pair can reach what it must share: the lists a class does not see are at most those
     that it leads, and at most those its partner meets as not leading.
     """
-    most = int(CHOICES[-1])
     open_lists = known.where("not leading").select("token").distinct()
-    active = known.join(open_lists, "token", "left_semi").select("token", "cid", "k", "leading")
+    active = known.join(open_lists, "token", "left_semi").select("token", "cid", "n", "k", "leading")
     active = stage(active, "active")
     counts = active.groupBy("cid").agg(F.count_if("leading").alias("led"), F.count_if(~F.col("leading")).alias("unled"))
-    # in one number: k, whether the class leads here, and (as far as it matters) how many lists it does not lead
-    k, seen = F.least("k", F.lit(most)), F.least("unled", F.lit(most))
-    info = (k + 64 * F.col("leading").cast("int") + 128 * seen).cast("smallint")
-    active = active.join(counts, "cid").select("token", "cid", "k", "leading", "led", info.alias("info"))
+    # in one number: k, whether the class leads here, and how many lists it does not lead
+    info = F.col("k") + (1 << 16) * F.col("leading").cast("int") + (1 << 17) * F.col("unled")
+    active = active.join(counts, "cid").select("token", "cid", "n", "k", "leading", "led", info.alias("info"))
     active = stage(active, "counted")
-    rest = active.where("not leading").select("token", F.col("cid").alias("x"), F.col("k").alias("x_k"), F.col("led").alias("x_led"))
+    rest = active.where("not leading").select("token", F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("k").alias("x_k"), F.col("led").alias("x_led"))
     longest = active.groupBy("token").count().agg(F.max("count")).first()[0] or 0
     part = F.pmod(F.xxhash64("cid", F.lit("part")), F.lit(-(-longest // PART) or 1))
-    packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("cid", "info"))).alias("members"))
-    packed = stage(packed.select("token", "part", F.col("members.cid").alias("cids"), F.col("members.info").alias("infos")), "packed")
+    packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("cid", "info", "n"))).alias("members"))
+    packed = stage(packed.select("token", "part", *[F.col(f"members.{c}").alias(f"{c}s") for c in ("cid", "info", "n")]), "packed")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         key: tuple | None = None
 
         def flush() -> pa.RecordBatch:
-            x, x_k, x_led, _ = key
-            cids, infos = (np.concatenate(arrays) for arrays in zip(*held))
+            x, x_n, x_k, x_led, _ = key
+            cids, infos, ns = (np.concatenate(arrays) for arrays in zip(*held))
             found, first, at = np.unique(cids, return_index=True, return_inverse=True)
-            info = infos[first].astype(np.int64)
+            info, n = infos[first], ns[first]
             met = np.bincount(at, minlength=len(found))
-            only = np.bincount(at[(infos >> 6) & 1 == 1], minlength=len(found))
-            least = np.minimum(info & 63, x_k)
-            unseen = np.minimum(x_led, (info >> 7) - (met - only))
+            only = np.bincount(at[(infos >> 16) & 1 == 1], minlength=len(found))
+            k = info & 0xFFFF
+            least = np.minimum(k, x_k)
+            if sized:
+                overlap = -(-NUMERATOR * (n + x_n) // (NUMERATOR + DENOMINATOR))
+                slack, x_slack = -(-NUMERATOR * n // DENOMINATOR) - k, -(-NUMERATOR * x_n // DENOMINATOR) - x_k
+                least = np.maximum(least, overlap - np.maximum(slack, x_slack))
+            unseen = np.minimum(x_led, (info >> 17) - (met - only))
             own = np.where(x < found, met, only)
-            keep = (met + unseen >= least) & (own > 0) & (found != x)
+            fits = DENOMINATOR * np.minimum(n, x_n) >= NUMERATOR * np.maximum(n, x_n)
+            keep = (met + unseen >= least) & (own > 0) & (found != x) & fits
             found, own, least = found[keep], own[keep], least[keep]
             arrays = [np.minimum(found, x), np.maximum(found, x), own, least]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["a", "b", "met", "k"])
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "x_k", "x_led", "part")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "x_n", "x_k", "x_led", "part")))
             for i, row in enumerate(rows):
                 if row != key:
                     if held:
                         yield flush()
                     held, key = [], row
-                held.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cids", "infos")))
+                held.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cids", "infos", "ns")))
         if held:
             yield flush()
 
-    met = rest.join(packed, "token").select("x", "x_k", "x_led", "part", "cids", "infos")
+    met = rest.join(packed, "token").select("x", "x_n", "x_k", "x_led", "part", "cids", "infos", "ns")
     met = met.repartition("x", "part").sortWithinPartitions("x", "part").mapInArrow(count, "a bigint, b bigint, met bigint, k bigint")
     met = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("k").alias("k")).where("met >= k").select("a", "b")
-    facts = known.select("cid", "n", "label").distinct()
+    labels = known.select("cid", "label").distinct()
     for end in ("a", "b"):
-        met = met.join(facts.toDF(end, f"{end}_n", f"{end}_label"), end)
-    return met.where((F.col("a_label") != F.col("b_label")) & _fits(F.col("a_n"), F.col("b_n"))).select("a", "b")
+        met = met.join(labels.toDF(end, f"{end}_label"), end)
+    return met.where("a_label <> b_label").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:

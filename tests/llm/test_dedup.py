@@ -127,6 +127,40 @@ def test_partners_share_lists_of_either_leader(spark):
     assert {tuple(r) for r in jaccard_join._partners(spark.createDataFrame(rows, schema)).collect()} == want and len(want) > 100
 
 
+def test_near_copies_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for _ in range(6):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    sizes, stage = [], jaccard_join.stage
+
+    def counted(df, name, outer=False):
+        out = stage(df, name, outer)
+        sizes.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("key").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_groups(rows)
+    assert max(sizes) < 160 * 159 // 2 // 10
+
+
+def test_pairs_of_the_least_similarity_are_kept(spark):
+    rng = random.Random(6)
+    rows = []
+    for g in range(60):  # two texts that share a run of words and differ at the ends, on either side of three quarters
+        shared, own = rng.randrange(30, 90), [rng.randrange(1, 18) for _ in range(2)]
+        run = [f"g{g}s{k}" for k in range(shared)]
+        rows += [(2 * g + i, " ".join(run + [f"g{g}x{i}n{k}" for k in range(own[i])])) for i in range(2)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("key").collect()
+    want = brute_groups(rows)
+    assert sorted(map(tuple, got), key=repr) == want and 60 < len({r[2] for r in want}) < 120
+
+
 def test_first_of_each_group_stays(spark, odd, nothing):
     kept = jaccard_join.keep_first_of_groups(odd)
     assert kept.columns == odd.columns
