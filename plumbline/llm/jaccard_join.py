@@ -48,6 +48,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 CROWD = 32
 #: Members of a posting list that are packed into one row.
 PART = 1000
+#: Classes that meet their posting lists together, so that a list is sent once for all of them.
+BLOCK = 128
 #: Lists of numbers up to this length are broadcast (8 bytes each), longer ones are joined.
 BROADCAST_ROWS = 2_000_000
 #: Shingles per counter of the sketch, and the bounds of its size.
@@ -323,7 +325,8 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
 
     A class that is not connected with a list's leader meets the list packed, in parts of
     about ``PART`` members by a hash of the member, so that its lists are counted together
-    in memory. Of the lists a pair shares, either class sees those in which it is not
+    in memory. Classes with the same longest list do so in blocks of about ``BLOCK``, to which
+    every list is sent once. Of the lists a pair shares, either class sees those in which it is not
     leading itself. The class with the smaller id counts all that it sees, the other one
     those that only it sees, and the two counts are added. A count becomes a row only if
     the pair can reach what it must share: the lists a class does not see are at most those
@@ -337,18 +340,32 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
     info = F.col("k") + (1 << 16) * F.col("leading").cast("int") + (1 << 17) * F.col("unled")
     active = active.join(counts, "cid").select("token", "cid", "n", "k", "leading", "led", info.alias("info"))
     active = stage(active, "counted")
-    rest = active.where("not leading").select("token", F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("k").alias("x_k"), F.col("led").alias("x_led"))
-    longest = active.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+    lengths = active.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
+    longest = lengths.agg(F.max("members")).first()[0] or 0
     part = F.pmod(F.xxhash64("cid", F.lit("part")), F.lit(-(-longest // PART) or 1))
     packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("cid", "info", "n"))).alias("members"))
     packed = stage(packed.select("token", "part", *[F.col(f"members.{c}").alias(f"{c}s") for c in ("cid", "info", "n")]), "packed")
+    rest = active.where("not leading").join(lengths, "token").groupBy(F.col("cid").alias("x")).agg(
+        *[F.first(c).alias(f"x_{c}") for c in ("n", "k", "led")],  # the same in all rows of a class
+        F.max(F.struct("members", "token")).getField("token").alias("home"), F.collect_list("token").alias("tokens"),
+    )
+    rest = stage(rest, "rest")
+    homes = rest.groupBy("home").agg(F.count(F.lit(1)).alias("rows"))
+    block = F.pmod(F.xxhash64("x", F.lit("block")), F.ceil(F.col("rows") / F.lit(BLOCK))).alias("block")
+    rest = stage(rest.join(homes, "home").select("home", block, *[c for c in rest.columns if c != "home"]), "blocks")
+    sent = rest.select("home", "block", F.explode("tokens").alias("token")).distinct().join(packed, "token")
+    sent = stage(sent.select("home", "block", "part", "token", "cids", "infos", "ns"), "sent")
+    met = sent.select("home", "block", "part").distinct().join(rest, ["home", "block"])
+    both = met.unionByName(sent, allowMissingColumns=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        lists: dict[int, tuple[np.ndarray, ...]] = {}
         key: tuple | None = None
 
-        def flush() -> pa.RecordBatch:
-            x, x_n, x_k, x_led, _ = key
+        def partners(x: int, x_n: int, x_k: int, x_led: int, tokens: list[int]) -> pa.RecordBatch | None:
+            held = [lists[token] for token in tokens if token in lists]
+            if not held:
+                return None
             cids, infos, ns = (np.concatenate(arrays) for arrays in zip(*held))
             found, first, at = np.unique(cids, return_index=True, return_inverse=True)
             info, n = infos[first], ns[first]
@@ -369,18 +386,21 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["a", "b", "met", "k"])
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "x_n", "x_k", "x_led", "part")))
-            for i, row in enumerate(rows):
-                if row != key:
-                    if held:
-                        yield flush()
-                    held, key = [], row
-                held.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("cids", "infos", "ns")))
-        if held:
-            yield flush()
-
-    met = rest.join(packed, "token").select("x", "x_n", "x_k", "x_led", "part", "cids", "infos", "ns")
-    met = met.repartition("x", "part").sortWithinPartitions("x", "part").mapInArrow(count, "a bigint, b bigint, met bigint, k bigint")
+            columns = [batch.column(c) for c in ("cids", "infos", "ns")]
+            places = zip(*(batch.column(c).to_pylist() for c in ("home", "block", "part")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("token", "x", "x_n", "x_k", "x_led")))
+            for i, (place, (token, *own)) in enumerate(zip(places, rows)):
+                if place != key:
+                    lists, key = {}, place
+                if token is not None:  # the lists of a block come before its classes
+                    lists[token] = tuple(column[i].values.to_numpy(zero_copy_only=False) for column in columns)
+                    continue
+                out = partners(*own, batch.column("tokens")[i].values.to_numpy(zero_copy_only=False).tolist())
+                if out is not None and out.num_rows:
+                    yield out
+
+    place = ["home", "block", "part"]
+    met = both.repartition(*place).sortWithinPartitions(*place, F.col("token").isNull()).mapInArrow(count, "a bigint, b bigint, met bigint, k bigint")
     met = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("k").alias("k")).where("met >= k").select("a", "b")
     labels = known.select("cid", "label").distinct()
     for end in ("a", "b"):

@@ -149,6 +149,24 @@ def test_near_copies_below_the_threshold_make_few_pairs(spark, monkeypatch):
     assert max(sizes) < 160 * 159 // 2 // 10
 
 
+def test_a_long_list_is_sent_once_a_block(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(t, c, 100, 12, c, False) for c in range(1, 501) for t in rng.sample(range(24), 18)]
+    known = spark.createDataFrame(rows, "token long, cid long, n long, k long, label long, leading boolean")
+    entries, stage = {}, jaccard_join.stage
+
+    def counted(df, name, outer=False):
+        out = stage(df, name, outer)
+        if name == "sent":
+            entries[name] = out.selectExpr("sum(size(cids))").first()[0]
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    assert {tuple(r) for r in jaccard_join._partners(known).collect()} == brute_partners(rows)
+    blocks = 24 + 500 // jaccard_join.BLOCK  # at most one not full for each home
+    assert len(rows) <= entries["sent"] <= len(rows) * blocks < len(rows) * 500
+
+
 def test_pairs_of_the_least_similarity_are_kept(spark):
     rng = random.Random(6)
     rows = []
