@@ -245,3 +245,17 @@ def test_hot_vertices_hear_exactly_k(crowd):
     close(rows_of(beliefs.run_lbp(start, 2, sampling=sample), *beliefs.MESSAGES), rows_of(salted, *beliefs.MESSAGES))
     with pytest.raises(ValueError, match="k must"):
         sampling.bottom_k(start, "dst", 0)
+
+
+def test_belief_edges_carry_no_column_that_is_not_used(spark, monkeypatch):
+    from plumbline.plans import catalog
+
+    staged, stage = {}, catalog.stage
+
+    def recorded(df, name, *rest):
+        staged[name] = set(df.columns)
+        return stage(df, name, *rest)
+
+    monkeypatch.setattr(catalog, "stage", recorded)
+    catalog._belief_graph(catalog._offers(spark, "/root/testdata/sf0.001"))
+    assert staged["belief-edges"] == {"edge_id", "src", "dst", "s", "u_deg", "single_user", "p_deg", "single_product"}
