@@ -23,8 +23,10 @@ tasks. It only sets the order and the choice of k; no pair depends on its accura
 Shingles in one prefix only are dropped before any pair is made. In a posting list with
 more than ``CROWD`` members, all members are first held against two leaders; members
 that the verified links to leaders connect need no pairs among them, so none are made.
-All other pairs of the list are counted, in memory by class, and each that shares enough
-is verified on the full sets. Components of the verified links are the groups.
+Members of a list that is still long then try the few partners they share most with, and
+what that connects makes no pairs either: a group is joined by some links for each member,
+not by all there are. All other pairs of the list are counted, in memory by class, and each
+that shares enough is verified on the full sets. Components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -46,6 +49,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: A posting list with more members goes through leaders first.
 CROWD = 32
+#: Partners that a member of a list with more than ``LONG`` members the leader does not reach tries before all others.
+NEAREST, LONG = 4, 64
 #: Members of a posting list that are packed into one row.
 PART = 1000
 #: Classes that meet their posting lists together, so that a list is sent once for all of them.
@@ -305,21 +310,36 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
     star = star.where((F.col("cid") != F.col("l.cid")) & _fits(F.col("n"), F.col("l.n")))
     star = star.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b"), _must_share(F.col("n"), F.col("k"), F.col("l.n"), F.col("l.k")).alias("k"))
     links = _verified(stage(_enough(star), "pairs"), classes, keyed, repeats)
-    # classes that the leaders connect already carry one label, and only other pairs are left to make
+    tried, known = links, _labelled(led, links)
+    with staging(spark):
+        apart = known.where("not leading").groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LONG)
+        long = stage(apart.select("token"), "long")
+        crowded = not long.isEmpty()
+        nearest = stage(_partners(_only(known, long, "token"), sized=True, nearest=NEAREST), "pairs", outer=True) if crowded else None
+    if crowded:
+        tried = links.union(nearest)
+        links = links.union(_verified(nearest, classes, keyed, repeats))
+        known = _labelled(led, links)
+    with staging(spark):
+        pairs = stage(_partners(known, sized=True).join(tried, ["a", "b"], "left_anti"), "pairs", outer=True)
+    return links.union(_verified(pairs, classes, keyed, repeats))
+
+
+def _labelled(led: DataFrame, links: DataFrame) -> DataFrame:
+    """``token``, ``cid``, ``n``, ``k``, ``label``, ``leading``, staged: classes that the links connect carry one label."""
     labels = stage(_groups(links), "labels")
     own, lead = (labels.select(F.col("cid").alias(f"{c}_cid"), F.col("component").alias(f"{c}_label")) for c in ("own", "lead"))
     known = led.join(own, F.col("cid") == F.col("own_cid"), "left").join(lead, F.col("l1.cid") == F.col("lead_cid"), "left")
     label = F.coalesce("own_label", "cid")
-    known = known.select("token", "cid", "n", "k", label.alias("label"), (label == F.coalesce("lead_label", "l1.cid")).alias("leading"))
-    with staging(spark):
-        partners = _partners(stage(known, "known"), sized=True)
-        pairs = stage(partners.join(links, ["a", "b"], "left_anti"), "pairs", outer=True)
-    return links.union(_verified(pairs, classes, keyed, repeats))
+    return stage(known.select("token", "cid", "n", "k", label.alias("label"), (label == F.coalesce("lead_label", "l1.cid")).alias("leading")), "known")
 
 
-def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
+def _partners(known: DataFrame, sized: bool = False, nearest: int = 0) -> DataFrame:
     """Pairs (a, b) of different labels that share enough prefix shingles.
 
+    With ``nearest``, only some of them: for each class that many, at most, from each part of
+    the members, of those that share enough in the lists it meets itself, the most first.
+
     Enough is the smaller k, or with ``sized``, which takes the shingles of a class to be the
     prefix of its k, what sets of the two sizes must share.
 
@@ -330,23 +350,26 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
     leading itself. The class with the smaller id counts all that it sees, the other one
     those that only it sees, and the two counts are added. A count becomes a row only if
     the pair can reach what it must share: the lists a class does not see are at most those
-    that it leads, and at most those its partner meets as not leading.
+    that it leads, and at most those its partner meets as not leading. Members stand by label
+    in a list, so those of a class's own label are left out as a whole.
     """
     open_lists = known.where("not leading").select("token").distinct()
-    active = known.join(open_lists, "token", "left_semi").select("token", "cid", "n", "k", "leading")
-    active = stage(active, "active")
+    active = known.join(open_lists, "token", "left_semi")
+    active = stage(active.select("token", "cid", "n", "k", "label", "leading"), "active")
     counts = active.groupBy("cid").agg(F.count_if("leading").alias("led"), F.count_if(~F.col("leading")).alias("unled"))
     # in one number: k, whether the class leads here, and how many lists it does not lead
     info = F.col("k") + (1 << 16) * F.col("leading").cast("int") + (1 << 17) * F.col("unled")
-    active = active.join(counts, "cid").select("token", "cid", "n", "k", "leading", "led", info.alias("info"))
+    active = active.join(counts, "cid").select("token", "cid", "n", "k", "label", "leading", "led", info.alias("info"))
     active = stage(active, "counted")
     lengths = active.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
     longest = lengths.agg(F.max("members")).first()[0] or 0
     part = F.pmod(F.xxhash64("cid", F.lit("part")), F.lit(-(-longest // PART) or 1))
-    packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("cid", "info", "n"))).alias("members"))
-    packed = stage(packed.select("token", "part", *[F.col(f"members.{c}").alias(f"{c}s") for c in ("cid", "info", "n")]), "packed")
+    packed = active.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("label", "cid", "info", "n"))).alias("members"))
+    # a label that is the class's own is not written
+    labels = F.transform("members", lambda m: F.nullif(m["label"], m["cid"])).alias("labels")
+    packed = stage(packed.select("token", "part", labels, *[F.col(f"members.{c}").alias(f"{c}s") for c in ("cid", "info", "n")]), "packed")
     rest = active.where("not leading").join(lengths, "token").groupBy(F.col("cid").alias("x")).agg(
-        *[F.first(c).alias(f"x_{c}") for c in ("n", "k", "led")],  # the same in all rows of a class
+        *[F.first(c).alias(f"x_{c}") for c in ("n", "k", "led", "label")],  # the same in all rows of a class
         F.max(F.struct("members", "token")).getField("token").alias("home"), F.collect_list("token").alias("tokens"),
     )
     rest = stage(rest, "rest")
@@ -354,7 +377,7 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
     block = F.pmod(F.xxhash64("x", F.lit("block")), F.ceil(F.col("rows") / F.lit(BLOCK))).alias("block")
     rest = stage(rest.join(homes, "home").select("home", block, *[c for c in rest.columns if c != "home"]), "blocks")
     sent = rest.select("home", "block", F.explode("tokens").alias("token")).distinct().join(packed, "token")
-    sent = stage(sent.select("home", "block", "part", "token", "cids", "infos", "ns"), "sent")
+    sent = stage(sent.select("home", "block", "part", "token", "labels", "cids", "infos", "ns"), "sent")
     met = sent.select("home", "block", "part").distinct().join(rest, ["home", "block"])
     both = met.unionByName(sent, allowMissingColumns=True)
 
@@ -362,8 +385,11 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
         lists: dict[int, tuple[np.ndarray, ...]] = {}
         key: tuple | None = None
 
-        def partners(x: int, x_n: int, x_k: int, x_led: int, tokens: list[int]) -> pa.RecordBatch | None:
-            held = [lists[token] for token in tokens if token in lists]
+        def partners(x: int, x_n: int, x_k: int, x_led: int, x_label: int, tokens: list[int]) -> pa.RecordBatch | None:
+            held = []
+            for labels, *columns in (lists[token] for token in tokens if token in lists):
+                first, last = (int(labels.searchsorted(x_label, side)) for side in ("left", "right"))
+                held += [[c[at] for c in columns] for at in (slice(first), slice(last, None))]
             if not held:
                 return None
             cids, infos, ns = (np.concatenate(arrays) for arrays in zip(*held))
@@ -378,22 +404,25 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
                 slack, x_slack = -(-NUMERATOR * n // DENOMINATOR) - k, -(-NUMERATOR * x_n // DENOMINATOR) - x_k
                 least = np.maximum(least, overlap - np.maximum(slack, x_slack))
             unseen = np.minimum(x_led, (info >> 17) - (met - only))
-            own = np.where(x < found, met, only)
+            own = np.where((x < found) | (nearest > 0), met, only)
             fits = DENOMINATOR * np.minimum(n, x_n) >= NUMERATOR * np.maximum(n, x_n)
-            keep = (met + unseen >= least) & (own > 0) & (found != x) & fits
+            keep = np.flatnonzero((met + (0 if nearest else unseen) >= least) & (own > 0) & fits)
+            if nearest:
+                keep = keep[np.argsort((least - met)[keep], kind="stable")[:nearest]]
             found, own, least = found[keep], own[keep], least[keep]
             arrays = [np.minimum(found, x), np.maximum(found, x), own, least]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["a", "b", "met", "k"])
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("cids", "infos", "ns")]
+            columns = [batch.column(c) for c in ("labels", "cids", "infos", "ns")]
             places = zip(*(batch.column(c).to_pylist() for c in ("home", "block", "part")))
-            rows = zip(*(batch.column(c).to_pylist() for c in ("token", "x", "x_n", "x_k", "x_led")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("token", "x", "x_n", "x_k", "x_led", "x_label")))
             for i, (place, (token, *own)) in enumerate(zip(places, rows)):
                 if place != key:
                     lists, key = {}, place
                 if token is not None:  # the lists of a block come before its classes
-                    lists[token] = tuple(column[i].values.to_numpy(zero_copy_only=False) for column in columns)
+                    labels, *rest = (column[i].values for column in columns)
+                    lists[token] = tuple(c.to_numpy(zero_copy_only=False) for c in (pc.coalesce(labels, rest[0]), *rest))
                     continue
                 out = partners(*own, batch.column("tokens")[i].values.to_numpy(zero_copy_only=False).tolist())
                 if out is not None and out.num_rows:
@@ -401,11 +430,7 @@ def _partners(known: DataFrame, sized: bool = False) -> DataFrame:
 
     place = ["home", "block", "part"]
     met = both.repartition(*place).sortWithinPartitions(*place, F.col("token").isNull()).mapInArrow(count, "a bigint, b bigint, met bigint, k bigint")
-    met = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("k").alias("k")).where("met >= k").select("a", "b")
-    labels = known.select("cid", "label").distinct()
-    for end in ("a", "b"):
-        met = met.join(labels.toDF(end, f"{end}_label"), end)
-    return met.where("a_label <> b_label").select("a", "b")
+    return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("k").alias("k")).where("met >= k").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:

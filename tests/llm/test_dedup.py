@@ -149,6 +149,38 @@ def test_near_copies_below_the_threshold_make_few_pairs(spark, monkeypatch):
     assert max(sizes) < 160 * 159 // 2 // 10
 
 
+def test_a_large_group_is_joined_by_few_links(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(320):  # about half of all pairs are similar enough, so leaders leave many members out
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 3, 4])):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    sizes, stage = [], jaccard_join.stage
+
+    def counted(df, name, outer=False):
+        out = stage(df, name, outer)
+        sizes.append(out.count() if name in ("pairs", "links") else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("key").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_groups(rows)
+    assert sum(sizes) < 14 * 320
+
+
+def test_members_of_one_label_make_no_pairs(spark):
+    rng = random.Random(5)
+    rows = [(t, c, 90, 8, 1 if c < 180 else c, c < 180 and t < 12) for c in range(1, 201) for t in rng.sample(range(24), 16)]
+    known = spark.createDataFrame(rows, "token long, cid long, n long, k long, label long, leading boolean")
+    want = brute_partners(rows)
+    assert {tuple(r) for r in jaccard_join._partners(known).collect()} == want
+    some = {tuple(r) for r in jaccard_join._partners(known, nearest=2).collect()}
+    assert some and some <= want and len(some) <= 2 * 200
+
+
 def test_a_long_list_is_sent_once_a_block(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(t, c, 100, 12, c, False) for c in range(1, 501) for t in rng.sample(range(24), 18)]
