@@ -316,7 +316,7 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, crowd: int = CROWD) ->
         long = stage(apart.select("token"), "long")
         crowded = not long.isEmpty()
         nearest = stage(_partners(_only(known, long, "token"), sized=True, nearest=NEAREST), "pairs", outer=True) if crowded else None
-    if crowded:
+    if crowded and not nearest.isEmpty():
         tried = links.union(nearest)
         links = links.union(_verified(nearest, classes, keyed, repeats))
         known = _labelled(led, links)
