@@ -338,3 +338,40 @@ def test_merging_categories(spark):
     v, e = merge.merge_categories([(a, "A"), (b, "B")], [ea, eb])
     assert {(r.id, r.type): (r.deg, r.A, r.B) for r in v.collect()} == {("x", "u"): (3, 1, 1), ("p", "p"): (2, 1, 0), ("x", "p"): (1, 0, 1)}
     assert {(r.dst, r.u_deg, r.single_user, r.p_deg, r.single_product) for r in e.collect()} == {("p", 3, False, 2, False), ("x", 3, False, 1, True)}
+
+
+def test_rows_ranked_in_place_get_the_same_numbers(spark):
+    pick = random.Random(3)
+    rows = [
+        (pick.randrange(4), f"u{pick.randrange(5)}", (p := pick.randrange(4)), f"p{p}", pick.choice([None, "a", "b"]), pick.choice([None, 0.5, 1.5]))
+        for _ in range(600)
+    ]
+    df = spark.createDataFrame(rows + rows[:50], "time int, src string, part int, dst string, vote string, x double")
+    order = ["time", "src", "dst", "vote", "x"]
+    plain = number_rows(df.drop("part"), order, "n", distinct=True)
+    near = number_rows(df, order, "n", distinct=True, keep=["src", "dst", "x"], place="part", lead=3)
+    assert near.columns == ["src", "dst", "x", "n"]
+    assert sorted(map(tuple, near.collect()), key=lambda r: r[3]) == sorted(map(tuple, plain.select("src", "dst", "x", "n").collect()), key=lambda r: r[3])
+    assert plain.count() == len(set(r[:2] + r[3:] for r in rows))
+
+
+def test_ranking_in_place_sends_only_leading_columns_to_the_ranges(spark, monkeypatch):
+    from plumbline.operators import numbering
+
+    seen, stage_ = [], numbering.stage
+    monkeypatch.setattr(numbering, "stage", lambda df, name: seen.append(df) or stage_(df, name))
+    df = spark.range(50).selectExpr("id % 7 as a", "id % 3 as b", "cast(id as string) as wide", "id % 7 as place")
+    number_rows(df, ["a", "b", "wide"], "n", keep=["a"], place="place", lead=2)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("RepartitionByExpression")]
+    assert "wide" not in above and seen[0].columns == ["a", "_slot"]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 6])
+def test_degrees_counted_in_place(spark, limit):
+    pick = random.Random(5)
+    rows = [(i, pick.choice(["u0", f"u{pick.randrange(30)}", None]), pick.choice(["p0", f"p{pick.randrange(40)}"])) for i in range(300)]
+    edges = spark.createDataFrame(rows, "n int, src string, dst string").where("src is not null")
+    known = graph.with_endpoint_degrees(edges, graph.degrees(edges), limit)
+    counted = graph.with_endpoint_degrees(edges, limit=limit)
+    assert sorted(map(tuple, counted.select(known.columns).collect())) == sorted(map(tuple, known.collect()))
