@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.messages import NEGATIVE, POSITIVE
-from plumbline.operators import active, beliefs, graph, reports, sampling
+from plumbline.operators import active, beliefs, fusion, graph, reports, sampling
 from plumbline.plans import skew
-from plumbline.plans.cutting import cut
+from plumbline.plans.cutting import cut, stage
 from plumbline.sources.snapshots import last_iteration, read_snapshot, read_snapshots
 
 
@@ -259,3 +259,111 @@ def test_belief_edges_carry_no_column_that_is_not_used(spark, monkeypatch):
     monkeypatch.setattr(catalog, "stage", recorded)
     catalog._belief_graph(catalog._offers(spark, "/root/testdata/sf0.001"))
     assert staged["belief-edges"] == {"edge_id", "src", "dst", "s", "u_deg", "single_user", "p_deg", "single_product"}
+
+
+def half_steps_of(monkeypatch, run):
+    """The states that go into a sum over vertices while ``run`` works."""
+    seen, plain = [], beliefs.add_group_sum
+
+    def watched(rows, key, *rest):
+        seen.append((key, rows))
+        return plain(rows, key, *rest)
+
+    monkeypatch.setattr(beliefs, "add_group_sum", watched)
+    run()
+    return seen
+
+
+def test_a_neutral_start_needs_no_sum_over_users(crowd, monkeypatch):
+    _, start = crowd
+    assert [key for key, _ in half_steps_of(monkeypatch, lambda: beliefs.run_lbp(start, 2))] == ["dst", "src", "dst"]
+    told = start.withColumns({"mu_fraud": F.lit(0.7), "mu_honest": F.lit(0.3)})
+    assert [key for key, _ in half_steps_of(monkeypatch, lambda: beliefs.run_lbp(told, 2))][:2] == ["src", "dst"]
+
+
+def test_a_message_that_is_replaced_is_not_shuffled(crowd, monkeypatch):
+    _, start = crowd
+    for key, rows in half_steps_of(monkeypatch, lambda: beliefs.run_lbp(start, 2)):
+        single, sent = ("single_user", "_mp") if key == "src" else ("single_product", "_mu")
+        sends = rows.where(~F.col(single) & (F.col("s") != 0))
+        assert sends.count() and not sends.where(F.col(sent).isNotNull()).count()
+
+
+def uniform_states(monkeypatch, start):
+    return {c for _, rows in half_steps_of(monkeypatch, lambda: beliefs.run_lbp(start, 1)) for c in rows.columns}
+
+
+def test_the_same_prior_everywhere_is_no_part_of_the_state(crowd, monkeypatch):
+    _, start = crowd
+    assert not {"prior_fraud", "prior_honest"} & uniform_states(monkeypatch, start)
+    mixed = start.withColumn("prior_bad", F.when(F.col("dst") == "p0", 3.0).otherwise(2.0))
+    assert "prior_bad" in uniform_states(monkeypatch, mixed)
+    settled = beliefs.run_lbp(mixed, 2)
+    assert settled.columns == start.columns
+    step = mixed
+    for _ in range(2):
+        step = beliefs.product_to_user(beliefs.user_to_product(step))
+    close(rows_of(settled, *beliefs.MESSAGES, *beliefs.PRIORS), rows_of(step, *beliefs.MESSAGES, *beliefs.PRIORS))
+
+
+@pytest.fixture(scope="module")
+def lonely(spark):
+    """Mostly products with one review, some users with one as well, and a core of shared ones."""
+    pick = random.Random(11)
+    rows = [(f"u{pick.randrange(40)}", f"q{i}", pick.choice([-0.6, 0.0, 0.4])) for i in range(150)]
+    rows += [(f"v{i}", pick.choice(["p0", "p1", f"r{i}"]), pick.choice([-0.6, 0.4])) for i in range(30)]
+    rows += [(f"u{pick.randrange(40)}", f"p{pick.randrange(8)}", pick.choice([-0.6, 0.4])) for _ in range(60)]
+    return belief_graph(spark, rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"group_limit": 5}])
+def test_edges_of_once_seen_products_stay_in_place(lonely, folder, monkeypatch, options):
+    _, start = lonely
+    step = start
+    for _ in range(2):
+        step = beliefs.product_to_user(beliefs.user_to_product(step))
+    done = {}
+    seen = half_steps_of(monkeypatch, lambda: done.update(plain=beliefs.run_lbp(start, 2, **options)))
+    close(rows_of(done["plain"], *beliefs.MESSAGES), rows_of(step, *beliefs.MESSAGES))
+    assert not seen[-1][1].where("single_product").count() and seen[-1][0] == "dst"
+    assert not seen[-2][1].where("single_user").count() and seen[-2][0] == "src"
+    written = beliefs.run_lbp(start, 2, snapshot_dir=folder + "/rounds", **options)
+    close(rows_of(written, *beliefs.MESSAGES), rows_of(step, *beliefs.MESSAGES))
+
+
+def test_edges_staged_by_product_meet_their_messages_again(crowd, lonely):
+    for _, start in (crowd, lonely):
+        placed = stage(start, "placed", False, "dst")
+        lean = beliefs.run_lbp(placed, 3, by_product=True)
+        assert lean.columns == start.columns and dict(lean.dtypes) == dict(start.dtypes)
+        close(rows_of(lean, *start.columns[5:]), rows_of(beliefs.run_lbp(start, 3), *start.columns[5:]), 1e-12)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_labels_need_one_shuffle_of_the_edges(spark, lonely):
+    from plumbline.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        folder = "/root/testdata/sf0.001"
+        dense = exchanges(catalog._labelled(catalog._reviews(spark, folder, placed=True)))
+        assert len(dense) == 2 and not any("(dst#" in line for line in dense)  # what users heard, and the edges
+        vertices, start = lonely
+        vertices, settled = stage(vertices, "vertices", False, "id"), beliefs.run_lbp(start, 2)
+        sparse = exchanges(fusion.fuse_review_labels(beliefs.node_beliefs(vertices, settled), settled))
+        assert len(sparse) == 2 and not any("(src#" in line for line in sparse)  # what products heard, and the edges
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_vertices_of_other_types_have_no_belief(spark, crowd):
+    vertices, start = crowd
+    extra = vertices.where("id = 'u0'").withColumn("type", F.lit("x"))
+    nameless = vertices.where("id = 'u0'").withColumn("type", F.lit(None).cast("string"))
+    found = beliefs.node_beliefs(vertices.unionByName(extra).unionByName(nameless), start).where("id = 'u0'").collect()
+    assert {(r.type, r.p_fraud is None) for r in found} == {("u", False), ("x", True), (None, True)}

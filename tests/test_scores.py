@@ -209,3 +209,32 @@ def test_unanswered_messages_say_nothing_for_either_side(spark):
     row = fusion.fuse_review_labels(vertices, edges).first()
     assert (row.fraudster, row.honest) == (0.5, 0.5)
     assert row.fake + row.genuine + row.uncertainty == pytest.approx(1.0)
+
+
+def test_evidence_is_exact_however_it_is_packed(spark):
+    schema = "edge_id string, src string, dst string, u_deg long, p_deg long, s double, mu_fraud double, mu_honest double, mp_bad double, mp_good double"
+    pairs = [(0.45, 0.55), (1.0, 1.0), (0.33333, 0.66667), (0.0, 1.0), (7.25, 3.0), (0.1, 0.2), (0.0, 0.0), (-1.0, 2.0), (None, 1.0), (1e30, 1.0)]
+    rows = [(f"e{i}{j}", f"u{j % 3}", f"p{i % 3}", 1, 1, -0.12346, *mu, *mp) for i, mu in enumerate(pairs) for j, mp in enumerate(pairs)]
+    edges = spark.createDataFrame(rows, schema)
+    nodes = [("u0", "u", 0.123449, 0.876551, None, None), ("p0", "p", None, None, 0.99996, 0.00004)]
+    nodes += [(f"{k}{i}", k, None, None, None, None) for k in "up" for i in (1, 2)]
+    for deg in (1, 9):  # either end may be joined first
+        known = spark.createDataFrame([(*n[:2], deg, *n[2:]) for n in nodes], "id string, type string, deg long, p_fraud double, p_honest double, p_bad double, p_good double")
+        found = {r.edge_id: r for r in fusion.endpoint_evidence(known, edges).collect()}
+        assert len(found) == len(rows)
+        for row in rows:
+            got = found[row[0]]
+            own = {"u": (0.1234, 0.8766) if row[1] == "u0" else None, "p": (1.0, 0.0) if row[2] == "p0" else None}
+            for kind, pair, belief in (("u", row[6:8], (got.fraudster, got.honest)), ("p", row[8:10], (got.bad, got.good))):
+                near = [None if x is None else round(x, 4) for x in pair]
+                lent = (None, None) if None in near or sum(near) == 0 else tuple(x / sum(near) for x in near)
+                assert belief == (own[kind] or lent), row
+            assert (got.s, got.mu_fraud, got.mp_good) == (-0.1235, *(None if x is None else round(x, 4) for x in (row[6], row[9])))
+
+
+def test_edges_are_shuffled_with_their_evidence_in_one_word(spark):
+    columns = ["fraudster", "honest", "mp_bad", "mp_good"]
+    df = spark.createDataFrame([(0.1234, 0.8766, 0.0, 1.0), (0.5, 0.5, 3.2767, 0.0001), (0.5, 0.5, 3.2768, 0.0)], ", ".join(f"{c} double" for c in columns))
+    packed = fusion._packed(df, columns)
+    assert packed.columns == ["_word", "_beside"] and [r._beside is None for r in packed.collect()] == [True, True, False]
+    assert fusion._unpacked(packed, columns).collect() == df.collect()
