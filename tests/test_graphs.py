@@ -375,3 +375,27 @@ def test_degrees_counted_in_place(spark, limit):
     known = graph.with_endpoint_degrees(edges, graph.degrees(edges), limit)
     counted = graph.with_endpoint_degrees(edges, limit=limit)
     assert sorted(map(tuple, counted.select(known.columns).collect())) == sorted(map(tuple, known.collect()))
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_reviews_need_names_only_if_keys_do_not_tell_customers_apart(spark, folder, twice):
+    import os
+
+    from plumbline.plans import catalog
+    from plumbline.sources import commerce
+
+    given = "/root/testdata/sf0.001"
+    for name in ("lineitem", "orders", "part", "documents"):
+        os.symlink(f"{given}/{name}.parquet", f"{folder}/{name}.parquet")
+    customer = spark.read.parquet(f"{given}/customer.parquet")
+    customer = customer.withColumn("c_name", F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")))
+    if twice:
+        customer = customer.unionByName(customer.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("Other")))
+    customer.write.parquet(f"{folder}/customer.parquet")
+    plain, placed = commerce.reviews(spark, folder), commerce.reviews(spark, folder, placed=True)
+    assert placed.drop(commerce.PLACE).columns == plain.columns
+    names = placed.select("reviewer_name").distinct().collect()
+    assert (len(names) > 3) == twice
+    found = [catalog._numbered(df.unionByName(df.where("verified"))).select("_rank", "src", "dst", "s") for df in (plain, placed)]
+    first, second = (sorted(map(tuple, df.collect())) for df in found)
+    assert first == second and len(first) == plain.distinct().count()

@@ -236,5 +236,5 @@ def test_edges_are_shuffled_with_their_evidence_in_one_word(spark):
     columns = ["fraudster", "honest", "mp_bad", "mp_good"]
     df = spark.createDataFrame([(0.1234, 0.8766, 0.0, 1.0), (0.5, 0.5, 3.2767, 0.0001), (0.5, 0.5, 3.2768, 0.0)], ", ".join(f"{c} double" for c in columns))
     packed = fusion._packed(df, columns)
-    assert packed.columns == ["_word", "_beside"] and [r._beside is None for r in packed.collect()] == [True, True, False]
+    assert packed.columns == ["_beside", "_word"] and [r._beside is None for r in packed.collect()] == [True, True, False]
     assert fusion._unpacked(packed, columns).collect() == df.collect()
